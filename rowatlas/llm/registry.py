@@ -7,6 +7,9 @@ import importlib
 #: Query name, module with run(spark, sf_dir) and, where SQL can express it, SQL.
 OPERATORS = {
     "op2_chat_format": "op2_chat",
+    "op3_warc": "op3_warc",
+    "op4_mixing": "op4_mixing",
+    "op9_tokens": "op9_tokens",
 }
 
 
