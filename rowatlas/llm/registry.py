@@ -6,10 +6,13 @@ import importlib
 
 #: Query name, module with run(spark, sf_dir) and, where SQL can express it, SQL.
 OPERATORS = {
+    "op1_jaccard": "op1_jaccard",
     "op2_chat_format": "op2_chat",
     "op3_warc": "op3_warc",
     "op4_mixing": "op4_mixing",
+    "op7_decontaminate": "op7_decontaminate",
     "op9_tokens": "op9_tokens",
+    "op10_licenses": "op10_licenses",
 }
 
 
