@@ -10,7 +10,10 @@ OPERATORS = {
     "op2_chat_format": "op2_chat",
     "op3_warc": "op3_warc",
     "op4_mixing": "op4_mixing",
+    "op5_quality": "op5_quality",
+    "op6_html_text": "op6_html",
     "op7_decontaminate": "op7_decontaminate",
+    "op8_nearest": "op8_nearest",
     "op9_tokens": "op9_tokens",
     "op10_licenses": "op10_licenses",
 }
