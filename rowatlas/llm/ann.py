@@ -36,7 +36,7 @@ SAMPLE_ROWS, SAMPLE_NUMBERS = 20_000, 4_000_000
 #: Vectors of a chunk, and queries of a block, on average; queries that numpy takes at once.
 CHUNK, QUERY_BLOCK = 4096, 128
 #: Share of cells that a query visits, and candidates of a chunk that are measured exactly.
-VISITED, RERANK = 0.55, 60
+VISITED, RERANK = 0.7, 60
 ROUNDS = 8
 
 

@@ -74,3 +74,10 @@ def contained(spark: SparkSession, docs: DataFrame, benchmark: DataFrame) -> Dat
     checked = pairs.select("doc_id", "item_id", "n_item", shared.alias("n_shared")).where(F.col("n_shared") * SHARE[1] >= F.col("n_item") * SHARE[0])
     best = F.max(F.struct((F.col("n_shared") / F.col("n_item")).alias("containment"), "n_shared", "n_item")).alias("b")
     return checked.groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", "b.n_item", "b.n_shared", "b.containment")
+
+
+def clean(spark: SparkSession, docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """``docs`` without the rows whose doc_id contains an item, with all columns."""
+    dirty = scratch.Tables(spark).write(contained(spark, docs, benchmark).select(F.col("doc_id").alias("_d")).distinct(), "contaminated")
+    few = dirty.count() <= BROADCAST_ROWS
+    return docs.join(F.broadcast(dirty) if few else dirty, F.col("doc_id").cast("long").eqNullSafe(F.col("_d")), "left_anti")

@@ -236,15 +236,16 @@ def _compared(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield flush()
 
 
-def join(spark: SparkSession, docs: DataFrame, rows: int = ROWS, recall: float = RECALL) -> DataFrame:
-    """``doc_id, class_id, n_links`` for every row of ``docs``.
+def _keyed(docs: DataFrame) -> DataFrame:
+    """``doc_id`` as a number, ``text`` and ``tk``, the digest of the text."""
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.unhex(F.md5(F.coalesce("text", F.lit("")))).alias("tk"))
 
-    ``n_links`` is the number of other rows with a similarity of 0.8 or more, equal texts included;
-    ``class_id`` is the smallest doc_id that a chain of links reaches.
-    """
-    tables = scratch.Tables(spark)
+
+def _linked(spark: SparkSession, docs: DataFrame, tables: scratch.Tables, rows: int, recall: float) -> tuple[DataFrame, DataFrame]:
+    """``doc_id, tk, uid`` of every row, and of every set that has a link or a copy:
+    ``uid, class_id, n_links`` and ``r``, the smallest (doc_id, tk) of its class."""
     bands = band_plan(rows, recall)
-    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.unhex(F.md5(F.coalesce("text", F.lit("")))).alias("tk"))
+    keyed = _keyed(docs)
     marked = tables.write(keyed.mapInArrow(_features(rows, bands), "doc_id long, tk binary, uid binary, bands array<long>"), "marked")
     # One row per shingle set; its text is found again by the smallest id and the digest of that row.
     sets = marked.where("uid is not null").groupBy("uid").agg(F.count("*").alias("members"), F.min(F.struct("doc_id", "tk")).alias("r"), F.first("bands").alias("bands"))
@@ -269,11 +270,36 @@ def join(spark: SparkSession, docs: DataFrame, rows: int = ROWS, recall: float =
     tables.drop("full", "near", "candidate-groups")
     links = found.where("other is null").groupBy("uid").agg(F.sum("links").alias("links"))
     classes = components(found.where("other is not null").select(F.col("uid").alias("u"), F.col("other").alias("v")), tables, "link-edges")
-    named = sets.select("uid", "members", "doc_id").join(classes.withColumnRenamed("node", "uid"), "uid", "left").join(links, "uid", "left")
+    named = sets.select("uid", "members", F.struct("doc_id", "tk").alias("own")).join(classes.withColumnRenamed("node", "uid"), "uid", "left").join(links, "uid", "left")
     named = named.withColumn("root", F.coalesce("root", "uid"))
-    names = named.groupBy("root").agg(F.min("doc_id").alias("class_id"), F.sum("members").alias("class_size"))
-    by_set = named.join(names, "root").select("uid", "class_id", "class_size", (F.coalesce("links", F.lit(0)) + F.col("members") - 1).alias("n_links"))
-    # Only sets with a link are joined back to rows: others are classes of their own.
-    linked = tables.write(by_set.where("class_size > 1"), "linked")
-    out = marked.select("doc_id", "uid").join(F.broadcast(linked) if linked.count() <= BROADCAST_ROWS else linked, "uid", "left")
-    return out.select("doc_id", F.when(F.col("class_size").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    names = named.groupBy("root").agg(F.min("own").alias("r"), F.sum("members").alias("class_size")).where("class_size > 1")
+    linked = named.join(names, "root").select("uid", "r", F.col("r.doc_id").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("members") - 1).alias("n_links"))
+    return marked.select("doc_id", "tk", "uid"), tables.write(linked, "linked")
+
+
+def _sized(df: DataFrame) -> DataFrame:
+    """Broadcast up to a counted bound."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
+def join(spark: SparkSession, docs: DataFrame, rows: int = ROWS, recall: float = RECALL) -> DataFrame:
+    """``doc_id, class_id, n_links`` for every row of ``docs``.
+
+    ``n_links`` is the number of other rows with a similarity of 0.8 or more, equal texts included;
+    ``class_id`` is the smallest doc_id that a chain of links reaches.
+    """
+    marked, linked = _linked(spark, docs, scratch.Tables(spark), rows, recall)
+    out = marked.join(_sized(linked.withColumn("found", F.lit(True))), "uid", "left")
+    return out.select("doc_id", F.when(F.col("found"), F.col("class_id")).otherwise(F.col("doc_id")).alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+
+
+def keep_one(spark: SparkSession, docs: DataFrame, rows: int = ROWS, recall: float = RECALL) -> DataFrame:
+    """``docs`` with one row of each class, that with the smallest doc_id (then digest of its text)."""
+    tables = scratch.Tables(spark)
+    marked, linked = _linked(spark, docs, tables, rows, recall)
+    heads = tables.write(linked.select("r.doc_id", F.col("r.tk").alias("_t")).distinct().withColumnRenamed("doc_id", "_d"), "heads")
+    away = tables.write(marked.join(_sized(linked.select("uid")), "uid", "left_semi").select(F.col("tk").alias("_t")).distinct(), "away")
+    own = docs.withColumn("_tk", F.unhex(F.md5(F.coalesce("text", F.lit("")))))
+    alone = own.join(_sized(away), F.col("_tk") == F.col("_t"), "left_anti")
+    first = own.join(_sized(heads), (F.col("_tk") == F.col("_t")) & F.col("doc_id").cast("long").eqNullSafe(F.col("_d")), "left_semi")
+    return alone.unionByName(first.dropDuplicates(["doc_id", "_tk"])).drop("_tk")

@@ -30,6 +30,8 @@ WEIGHTS = (5, 2, 1)
 MOST = 3
 #: Documents of a leaf of the tree, and its fan-in.
 LEAF = 4096
+#: Rows of verdicts that are broadcast at most (about 30 bytes each); more are joined by a shuffle.
+BROADCAST_ROWS = 1_000_000
 _ROWS = "doc_id long, tie long, src long, size long, whole int, frac double, copies int"
 
 
@@ -120,7 +122,7 @@ def mix(spark: SparkSession, docs: DataFrame, weights: tuple[int, ...] = WEIGHTS
     sized = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.lit(seed), "doc_id", "text").alias("tie"), "source", words(F.col("text")).alias("size"))
     sized = tables.write(sized, "mix-sizes")
     wanted = tables.write(targets(sized, weights, most), "mix-targets")
-    ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
+    ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))  # of a source without words, nothing
     whole = F.least(F.floor(ratio + 1e-12), F.lit(most)).cast("int")
     frac = F.when(F.col("size") > 0, F.greatest(ratio - whole, F.lit(0.0))).otherwise(F.lit(0.0))
     rows = sized.join(wanted, sized["source"].eqNullSafe(wanted["source"])).select("doc_id", "tie", "src", "size", whole.alias("whole"), frac.alias("frac"), "n")
@@ -139,3 +141,25 @@ def mix(spark: SparkSession, docs: DataFrame, weights: tuple[int, ...] = WEIGHTS
     for part in done:
         out = out.unionByName(part)
     return out.join(wanted.select("src", "source_size", "target"), "src").select("doc_id", "tie", "size", "source_size", "target", "copies")
+
+
+def with_copies(spark: SparkSession, docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, seed: int = 11) -> DataFrame:
+    """The rows of ``docs`` as often as the mix takes them, with all their columns.
+
+    Rows alike in id and text share their copies; what does not divide evenly goes to one of them.
+    """
+    tables = scratch.Tables(spark)
+    taken = mix(spark, docs, weights, most, seed).groupBy("doc_id", "tie").agg(F.sum("copies").alias("total"), F.count("*").alias("alike"))
+    taken = taken.where("total > 0").select(F.col("doc_id").alias("_d"), F.col("tie").alias("_t"), F.floor(F.col("total") / F.col("alike")).cast("int").alias("_each"), (F.col("total") % F.col("alike")).cast("int").alias("_more"))
+    taken = tables.write(taken, "mix-copies")
+    few = taken.count() <= BROADCAST_ROWS
+    own = F.xxhash64(F.lit(seed), F.col("doc_id").cast("long"), "text")
+
+    def repeated(verdict: DataFrame, times: str, once: bool) -> DataFrame:
+        rows = docs.withColumn("_own", own).join(F.broadcast(verdict) if few else verdict, (F.col("_own") == F.col("_t")) & F.col("doc_id").cast("long").eqNullSafe(F.col("_d")))
+        rows = rows.dropDuplicates(["_d", "_t"]) if once else rows
+        return rows.select(*(docs[c] for c in docs.columns), F.explode(F.array_repeat(F.lit(0), F.col(times))).alias("_k")).drop("_k")
+
+    out = repeated(taken.where("_each > 0"), "_each", False)
+    more = taken.where("_more > 0")
+    return out.unionByName(repeated(more, "_more", True)) if more.take(1) else out

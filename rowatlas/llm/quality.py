@@ -24,10 +24,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 #: Labelled rows that are learned from at most: those with the smallest hash of their id.
 SAMPLE_ROWS = 20_000
-#: Labelled rows whose ids are broadcast to fetch their texts: the sample, at 8 bytes each.
 TREES, DEPTH, BINS, RATE, LEAST_WEIGHT, RIDGE = 80, 4, 64, 0.15, 1.0, 1.0
 
 STATISTICS = (
@@ -178,5 +178,5 @@ def _scoring(trees: Trees):
 
 def score(docs: DataFrame, trees: Trees) -> DataFrame:
     """``docs`` (with a column text) and ``score``, higher where label 1 is likelier."""
-    schema = docs.schema.add("score", "double")
+    schema = StructType([*docs.schema.fields, StructField("score", DoubleType())])
     return docs.mapInArrow(_scoring(trees), schema)

@@ -24,8 +24,13 @@ def _module(name: str):
 
 
 def queries() -> dict:
-    return {q: _module(m).run for q, m in OPERATORS.items()}
+    import corpus_pipeline
+
+    return {q: _module(m).run for q, m in OPERATORS.items()} | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {q: sql for q, m in OPERATORS.items() if (sql := getattr(_module(m), "SQL", None))}
+    import corpus_pipeline
+
+    found = {q: getattr(_module(m), "SQL", None) for q, m in OPERATORS.items()} | {"pipeline": corpus_pipeline.ORACLE_SQL}
+    return {q: sql for q, sql in found.items() if sql}
