@@ -13,7 +13,6 @@ table writes no segment; other columns are ignored.
 
 from __future__ import annotations
 
-import re
 import zlib
 from collections.abc import Iterable, Iterator
 
@@ -24,18 +23,43 @@ from pyspark.sql import functions as F
 
 from rowatlas.llm import scratch
 
-#: White space other than one space or one line feed between words: such texts are encoded whole.
-_UNEVEN = re.compile(r"\s\s|^\s|\s\Z|[^\S \n]")
+#: White space besides space and line feed.
+_ODD = "\t\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+#: Written files whose offsets are broadcast at most (12 bytes each).
+BROADCAST_SEGMENTS = 1_000_000
+_PAIRS = ("  ", "\n\n", " \n", "\n ")
 #: Pieces kept by a worker; the cache is emptied beyond, never the data.
-CACHED_PIECES = 400_000
+CACHED_PIECES = 800_000
+
+
+def even(text: str) -> bool:
+    """Whether all white space of a text is one space or one line feed between two words."""
+    if not text or text[0] in " \n" or text[-1] in " \n" or any(p in text for p in _PAIRS):
+        return False
+    return not any(c in text for c in (_ODD[:8] if text.isascii() else _ODD))
+
+
+class _Known(dict):
+    """Numbers of pieces; new ones are numbered on sight and noted."""
+
+    def __init__(self):
+        super().__init__()
+        self.fresh: list[str] = []
+
+    def __missing__(self, piece: str) -> int:
+        self[piece] = number = len(self)
+        self.fresh.append(piece)
+        return number
 
 
 class Encoder:
     """Exact ``encode_batch`` of a byte-level BPE tokenizer, with a cache of pieces.
 
     The pre-tokenizer never joins characters over a single space or line feed that
-    stands between two words, so words with their leading space are encoded apart
-    and looked up again. Texts with other white space are encoded whole.
+    stands between two words, so words with the white space before them are encoded
+    apart, many in one call, and looked up again. Other texts are encoded whole.
+    A piece is kept by its word: bare after a space, behind "\n" after a line feed,
+    behind "\r" at the start of a text.
     """
 
     def __init__(self, path: str, end_id: int = 0):
@@ -47,70 +71,83 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.end_id = end_id
+        (self.newline,) = self._raw(["\n"])[0]
         self._clear()
 
     def _clear(self) -> None:
-        self.spaced: dict[str, int] = {}  # a word after a space, by the bare word
-        self.bare: dict[str, int] = {}
-        self.pool, self.starts, self.sizes, self.used = np.empty(1 << 16, np.int32), [], [], 0
-        self._add([("\n", "\n", self.bare)])
+        self.known = _Known()
+        self.pool, self.starts, self.sizes, self.used = np.empty(1 << 16, np.int32), np.empty(1 << 16, np.int64), np.empty(1 << 16, np.int64), 0
 
     def _raw(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _add(self, new: list[tuple[str, str, dict]]) -> None:
-        for (key, _, table), ids in zip(new, self._raw([text for _, text, _ in new]), strict=True):
-            end = self.used + len(ids)
-            while end > len(self.pool):
-                self.pool = np.concatenate([self.pool, np.empty_like(self.pool)])
-            self.pool[self.used : end] = ids
-            table[key] = len(self.starts)
-            self.starts.append(self.used)
-            self.sizes.append(len(ids))
-            self.used = end
+    def _learn(self) -> None:
+        """Encode the pieces that were seen for the first time, as lines of longer texts."""
+        fresh = self.known.fresh
+        first = len(self.known) - len(fresh)
+        for at in range(0, len(fresh), 500):
+            part = fresh[at : at + 500]
+            ids = np.asarray(self._raw(["\n".join(w[1:] if w[0] in "\n\r" else " " + w for w in part)])[0], np.int32)
+            ends = np.append(np.nonzero(ids == self.newline)[0], len(ids))
+            if len(ends) != len(part):
+                raise ValueError("the vocabulary joins line feeds to words")
+            # The line feed in front of a line is its own id, and part of the pieces that start with one.
+            ids, ends = np.concatenate([[self.newline], ids]), ends + 1
+            begins = np.concatenate([[0], ends[:-1]]) + np.array([w[0] != "\n" for w in part])
+            k, size = first + at, len(ids)
+            self.pool = self._room(self.pool, self.used + size)
+            self.starts, self.sizes = self._room(self.starts, k + len(part)), self._room(self.sizes, k + len(part))
+            self.pool[self.used : self.used + size] = ids
+            self.starts[k : k + len(part)], self.sizes[k : k + len(part)] = self.used + begins, ends - begins
+            self.used += size
+        fresh.clear()
+
+    @staticmethod
+    def _room(a: np.ndarray, size: int) -> np.ndarray:
+        return a if size <= len(a) else np.concatenate([a, np.empty(max(len(a), size - len(a)), a.dtype)])
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts, each with the end id, and the length of each."""
-        if len(self.starts) > CACHED_PIECES:
+        if len(self.known) > CACHED_PIECES:
             self._clear()
-        whole = [bool(_UNEVEN.search(t)) for t in texts]
-        lines = [None if w or not t else [x.split(" ") for x in t.split("\n")] for t, w in zip(texts, whole, strict=True)]
-        first, rest = set(), set()
-        for doc in lines:
-            for words in doc or ():
-                first.add(words[0])
-                rest.update(words[1:])
-        self._add([(w, w, self.bare) for w in sorted(first - self.bare.keys())] + [(w, " " + w, self.spaced) for w in sorted(rest - self.spaced.keys())])
-        raw = iter(self._raw([t for t, w in zip(texts, whole, strict=True) if w]))
-        starts, sizes = np.asarray(self.starts), np.asarray(self.sizes)
-        newline, spaced, bare = self.bare["\n"], self.spaced.__getitem__, self.bare.__getitem__
-        parts, lengths = [], []
-        for doc, w in zip(lines, whole, strict=True):
-            if w:
-                ids = np.asarray(next(raw), np.int32)
-            elif doc is None:
-                ids = np.empty(0, np.int32)
+        number, seen = self.known.__getitem__, []
+        for t in texts:
+            if even(t):
+                words = t.replace("\n", " \n").split(" ")
+                words[0] = "\r" + words[0]
+                seen.append(np.fromiter(map(number, words), np.int64, len(words)))
             else:
-                pieces: list[int] = []
-                for k, words in enumerate(doc):
-                    if k:
-                        pieces.append(newline)
-                    pieces.append(bare(words[0]))
-                    pieces.extend(map(spaced, words[1:]))
-                at = np.asarray(pieces)
-                n = sizes[at]
+                seen.append(None)
+        self._learn()
+        raw = iter(self._raw([t for t, at in zip(texts, seen, strict=True) if at is None and t]))
+        parts, lengths, end = [], [], np.array([self.end_id], np.int32)
+        for t, at in zip(texts, seen, strict=True):
+            if at is not None:
+                n = self.sizes[at]
                 ends = np.cumsum(n)
-                ids = self.pool[np.repeat(starts[at] - ends + n, n) + np.arange(ends[-1])]
-            parts += [ids, np.array([self.end_id], np.int32)]
+                ids = self.pool[np.repeat(self.starts[at] - ends + n, n) + np.arange(ends[-1])]
+            else:
+                ids = np.asarray(next(raw), np.int32) if t else np.empty(0, np.int32)
+            parts += [ids, end]
             lengths.append(len(ids) + 1)
         return np.concatenate(parts), np.asarray(lengths, np.int64)
 
 
+_encoders: dict[tuple[str, int], Encoder] = {}
+
+
+def _encoder(path: str, end_id: int) -> Encoder:
+    """The encoder of this worker; its cache serves all tasks that the worker runs."""
+    if (path, end_id) not in _encoders:
+        _encoders[path, end_id] = Encoder(path, end_id)
+    return _encoders[path, end_id]
+
+
 def _encoding(tokenizer: str, end_id: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        encoder, segment, at = Encoder(tokenizer, end_id), TaskContext.get().partitionId(), 0
+        encoder, segment, at = _encoder(tokenizer, end_id), TaskContext.get().partitionId(), 0
         for whole in batches:
             for k in range(0, whole.num_rows, 256):
                 batch = whole.slice(k, 256)
@@ -144,7 +181,8 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
     rows = spark.read.schema(schema).orc(path)
     totals = rows.groupBy("segment").agg(F.sum("n_tokens").alias("total"))
     before = totals.select("segment", (F.sum("total").over(Window.orderBy("segment")) - F.col("total")).alias("before"))
-    return rows.join(before, "segment").select("doc_id", (F.col("before") + F.col("place")).alias("start"), "n_tokens", "ids")
+    few = before.count() <= BROADCAST_SEGMENTS
+    return rows.join(F.broadcast(before) if few else before, "segment").select("doc_id", (F.col("before") + F.col("place")).alias("start"), "n_tokens", "ids")
 
 
 def _digests(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
