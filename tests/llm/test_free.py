@@ -186,7 +186,7 @@ def test_mix_meets_targets(spark, monkeypatch):
     monkeypatch.setattr(mixing, "LEAF", 32)
     rng = random.Random(6)
     rows = [(k, " ".join("w" * rng.randrange(1, 5) for _ in range(rng.randrange(1, 60))), rng.choice(["é", "a", "B", "z", None, "tiny"] if k < 40 else ["a", "z", None, "B"])) for k in range(900)]
-    rows += [(5000, None, "a"), (5001, " \t", "a"), (5002, "x", "zero"), (7, "twice same", "a"), (7, "twice same", "a"), (None, "no id", "z")]
+    rows += [(5000, None, "a"), (5001, " \t", "a"), (5002, "x", "zero"), (7000, "twice same", "a"), (7000, "twice same", "a"), (None, "no id", "z")]
     df = spark.createDataFrame([(*r, 1.0) for r in rows], "doc_id long, text string, source string, target double")
     got = mixing.mix(spark, df).collect()
     again = mixing.mix(spark, df.repartition(7)).collect()
