@@ -30,6 +30,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from rowatlas.llm import scratch
+from rowatlas.llm.sampling import smallest
 
 #: Vectors for k-means at most: those with the smallest hash.
 SAMPLE_ROWS, SAMPLE_NUMBERS = 20_000, 4_000_000
@@ -175,8 +176,7 @@ def search(spark: SparkSession, vectors: DataFrame, is_query: Column, k: int = 5
     d, n = sizes.d, sizes.n
     found = found.where(F.size("v") == d)
     rows = min(sample_rows, max(1, SAMPLE_NUMBERS // d))
-    sample = found.orderBy(F.xxhash64("id"), "id", "v").limit(rows).select("v").toArrow()
-    x = _matrix(sample.column("v").combine_chunks(), d)
+    x = _matrix(smallest(found, F.xxhash64("id", "v"), rows).select("v").toArrow().column("v").combine_chunks(), d)
     index = fit(_unit(x), max(1, min(round(math.sqrt(n) / 2), len(x) // 20)))
     cells = len(index.centroids)
     probes = min(cells, max(1, math.ceil(visited * cells)))

@@ -26,6 +26,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
+from rowatlas.llm.sampling import smallest
+
 #: Labelled rows that are learned from at most: those with the smallest hash of their id.
 SAMPLE_ROWS = 20_000
 TREES, DEPTH, BINS, RATE, LEAST_WEIGHT, RIDGE = 80, 4, 64, 0.15, 1.0, 1.0
@@ -155,7 +157,7 @@ def _counted(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def train(spark: SparkSession, docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Trees:
     """Trees from the labelled documents that are not held out."""
     marks = labels.select(F.col("doc_id").cast("long").alias("k"), F.col("quality").cast("int").alias("quality")).where("k is not null and quality is not null")
-    sample = marks.where(~held_out(F.col("k"))).orderBy(F.xxhash64("k"), "k").limit(sample_rows)
+    sample = smallest(marks.where(~held_out(F.col("k"))), F.xxhash64("k"), sample_rows)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(sample), F.col("doc_id") == F.col("k"))
     rows = texts.select("k", "quality", "text").mapInArrow(_counted, "k long, quality int, x array<double>").toArrow()
     order = np.argsort(rows.column("k").to_numpy(), kind="stable")
