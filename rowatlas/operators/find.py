@@ -24,25 +24,35 @@ def matching(df: DataFrame, text: Column, needle: str, case_sensitive: bool = Tr
     return df.where(F.contains(hay, sought))
 
 
+def _ahead(sought: Column) -> Column:
+    """A pattern that matches the empty place in front of each occurrence, overlapping ones too."""
+    return F.concat(F.lit("(?=\\Q"), F.replace(sought, F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E)"))
+
+
 def hit_count(text: Column, needle: str, case_sensitive: bool = True) -> Column:
     hay, sought = _both(text, needle, case_sensitive)
-    return F.regexp_count(hay, F.concat(F.lit("(?="), F.lit("\\Q"), F.replace(sought, F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E)")))
+    return F.regexp_count(hay, _ahead(sought))
 
 
 def hits(df: DataFrame, text: Column, needle: str, case_sensitive: bool = True) -> DataFrame:
     """``row, start, end``: byte positions in the record, every overlapping hit.
 
-    Records without a hit go before anything is exploded; positions are found from gaps between
-    non-overlapping pieces only where the needle can overlap itself, by a test of each place.
+    Records without a hit go first. Others are split in front of each occurrence, so a hit
+    starts where the pieces before it end: one pass over the text.
     """
     hay, sought = _both(text, needle, case_sensitive)
-    n = len(needle)
     size = len(needle.encode())
     cut = df.select("row", hay.alias("_hay")).where(F.contains(F.col("_hay"), sought))
-    places = F.filter(F.sequence(F.lit(1), F.length("_hay") - n + 1), lambda i: F.substring(F.col("_hay"), i, F.lit(n)) == sought)
-    found = cut.select("row", "_hay", F.explode(places).alias("_i"))
-    start = F.octet_length(F.substring(F.col("_hay"), F.lit(1), F.col("_i") - 1)).cast("long")
-    return found.select("row", start.alias("start"), (start + size).alias("end"))
+
+    def add(acc: Column, piece: Column) -> Column:
+        return F.struct((acc["at"] + F.octet_length(piece)).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out"))
+
+    zero = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<long>").alias("out"))
+    starts = F.aggregate(F.split(F.col("_hay"), _ahead(sought), -1), zero, add, lambda acc: acc["out"])
+    # The first piece is a hit only if the record starts with one.
+    first = F.when(F.startswith(F.col("_hay"), sought), 1).otherwise(2)
+    found = cut.select("row", starts.alias("s"), first.alias("f")).select("row", F.explode(F.slice("s", F.col("f"), F.size("s"))).alias("start"))
+    return found.select("row", "start", (F.col("start") + size).alias("end"))
 
 
 def numbered(found: DataFrame) -> DataFrame:

@@ -10,18 +10,18 @@ from pyspark.sql import functions as F
 def ranked(df: DataFrame, order: list[Column], name: str) -> DataFrame:
     """``df`` with a contiguous zero-based ``name`` in the given total order.
 
-    Rows are dealt by sampled ranges and sorted inside them; a range's first number is the
-    count of all rows in earlier ranges. No task sees more than one range. The ranges
-    are persisted (memory and disk), so counting and numbering see the same
-    bounds; lost blocks are computed again from the same range exchange.
+    Rows are dealt by sampled ranges and sorted inside them: the one shuffle. A row's number is its
+    place in its range plus the count of all rows in earlier ranges. No task sees more
+    than one range. The ranges are persisted (memory and disk), so counting and
+    numbering see the same bounds; lost blocks are computed again from the same range exchange.
     """
-    ranged = df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()).persist(StorageLevel.MEMORY_AND_DISK)
-    counts = ranged.groupBy("_part").agg(F.count("*").alias("n"))
-    # One row per partition: the window and the broadcast are bounded by their number.
-    before = counts.select(F.col("_part"), (F.sum("n").over(Window.orderBy("_part")) - F.col("n")).alias("_before"))
-    place = F.row_number().over(Window.partitionBy("_part").orderBy(*order)) - 1
-    numbered = ranged.withColumn("_place", place).join(F.broadcast(before), "_part")
-    return numbered.withColumn(name, F.col("_before") + F.col("_place")).drop("_part", "_place", "_before")
+    # monotonically_increasing_id is the partition in the upper bits, the place in it in the lower 33.
+    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_id", F.monotonically_increasing_id()).persist(StorageLevel.MEMORY_AND_DISK)
+    part, place = F.shiftright("_id", 33), F.col("_id").bitwiseAND(F.lit((1 << 33) - 1))
+    counts = ranged.groupBy(part.alias("_part")).agg((F.max(place) + 1).alias("n"))
+    # One row per range: the window and the broadcast are bounded by their number.
+    before = counts.select("_part", (F.sum("n").over(Window.orderBy("_part")) - F.col("n")).alias("_before"))
+    return ranged.withColumn("_part", part).join(F.broadcast(before), "_part").withColumn(name, F.col("_before") + place).drop("_id", "_part", "_before")
 
 
 def with_row(df: DataFrame, *keys: str) -> DataFrame:
