@@ -44,7 +44,7 @@ SCOPE_OF = {"li": frozenset({"ul", "ol", "menu", "dir"}), "dt": frozenset({"dl"}
 AWAY = frozenset(
     "ad ads adv advert adverts advertisement advertising adsense adslot banner sponsor sponsored promo promotion nav navbar navigation menu submenu breadcrumb breadcrumbs sidebar sidenav rail footer masthead "
     "cookie cookies consent gdpr notice notices notification notifications alert popup modal overlay newsletter subscribe subscription signup login share sharing social related recommended recommendations "
-    "comment comments disqus reply replies respond discussion widget widgets toolbar pagination pager skip copyright contentinfo complementary search searchbox hidden paywall".split()
+    "comment comments disqus reply replies respond discussion widget widgets toolbar pagination pager skip copyright contentinfo complementary search searchbox hidden paywall topbar disclaimer legal privacy toc taboola outbrain lightbox".split()
 )
 _TOKEN = re.compile(r"<!--.*?(?:--!?>|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<(?=[a-zA-Z/])[^>]*\Z|[^<]+|<", re.S)
 _MARK = re.compile(r"""(?:^|[\s"'/])(class|id|role|hidden|style|aria-hidden)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
@@ -53,10 +53,10 @@ _HEADS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
 
 
 class Node:
-    __slots__ = ("tag", "parent", "children", "gone", "chars", "tags", "link_chars", "link_tags", "density", "sum")
+    __slots__ = ("tag", "parent", "children", "gone", "header", "chars", "tags", "link_chars", "link_tags", "density", "sum")
 
-    def __init__(self, tag: str, parent: Node | None, gone: bool = False):
-        self.tag, self.parent, self.children, self.gone = tag, parent, [], gone
+    def __init__(self, tag: str, parent: Node | None, gone: bool = False, header: str = ""):
+        self.tag, self.parent, self.children, self.gone, self.header = tag, parent, [], gone, header
         self.chars = self.tags = self.link_chars = self.link_tags = 0
         self.density = self.sum = 0.0
 
@@ -80,6 +80,16 @@ def _away(tag: str, marks: str) -> bool:
     return False
 
 
+def _header(tag: str, marks: str) -> str:
+    """"page" for what a name or class calls a header, "text" if it is called that of a text, else ""."""
+    if tag in ("html", "body", "article", "main"):
+        return ""
+    said = {w.lower() for name, value in _MARK.findall(marks) if name.lower() in ("class", "id") for w in _WORD.findall(value)}
+    if tag != "header" and "header" not in said:
+        return ""
+    return "text" if said & {"article", "post", "entry", "story", "content", "news"} else "page"
+
+
 def parse(page: str) -> Node:
     """The tree of a page; children are nodes and strings (decoded)."""
     top = Node("#", None)
@@ -116,7 +126,7 @@ def parse(page: str) -> Node:
                 node = node.parent
             if last is not None:
                 now = last.parent
-        node = Node(tag, now, _away(tag, marks))
+        node = Node(tag, now, _away(tag, marks), _header(tag, marks) if tag == "header" or "header" in marks.lower() else "")
         now.children.append(node)
         if tag in RAW:
             end = re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.I).search(page, at)
@@ -245,11 +255,11 @@ def main_text(page: str | None) -> str:
 
 
 def drop_headers(top: Node) -> None:
-    """Headers go, unless they are the heading of an article: inside one, with a heading and few links."""
+    """Headers go, unless they are the heading of a text: with a heading and few links, inside an article or called so."""
     for node in _order(top):
-        if node.tag != "header":
+        if not node.header:
             continue
-        up, held = node.parent, False
+        up, held = node.parent, node.header == "text"
         while up is not None and not held:
             held, up = up.tag in ("article", "main"), up.parent
         inside = _order(node)

@@ -273,6 +273,7 @@ def test_html_article():
         (None, ""), ("", ""), ("plain  text", "plain text"), ("<p>a</p><p>b", "a\nb"), ("<div><p>x</b>y</div>", "xy"), ("<!-- <p>no</p> --><p>yes", "yes"), ("<p>a<!-- cut", "a"), ("<p>a <b", "a"),
         ("<script>if (a<b) x</script><p>t</p>", "t"), ("<p>1 < 2 &lt; 3</p>", "1 < 2 < 3"), ("<body></body>", ""),
         ("<body><div class='content'><h2>H</h2><p>Some longer text that is the main part of the page.</p><p>And more of the text.</p></div><div class='menu'><a href=1>x</a></div></body>", "H\nSome longer text that is the main part of the page.\nAnd more of the text."),
+        ("<div id=header><h1>Site</h1></div><div class=post><div class=post-header><h1>Own title</h1></div><p>The text of the post, long enough to be the core.</p></div><div class='site-disclaimer'>Legal</div>", "Own title\nThe text of the post, long enough to be the core."),
         ("<table><tr><td>a<td>b<tr><td>c</table>", "a\nb\nc"), ("<textarea>t</textarea><p>u", "u"), ("<p hidden>h</p><p style='display:none'>i</p><p>j</p>", "j"),
     ],
 )
