@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from rowatlas.sources.formats import Fingerprint, check_path, infer_format, verify
-from rowatlas.sources.scanner import CSV, LINES, QUOTED, RECORD, TSV, Dialect, Scanner, outcome
+from rowatlas.sources.scanner import CSV, LINES, QUOTED, RECORD, TSV, Dialect, Scanner, outcome, plain_block
 
 BLOCK_BYTES = 32 << 20
 _RECORDS = pa.schema([("path", pa.string()), ("row", pa.int64()), ("start", pa.int64()), ("end", pa.int64()), ("bytes", pa.binary())])
@@ -57,7 +57,11 @@ def block_records(path: str, at: int, length: int, state: int, row: int, dialect
         data, base = f.read(length), at
         opened: list[int] = []
         ends: list[int] = []
-        state, _ = scanner.scan(data, state, lambda k: opened.append(base + k), lambda k: ends.append(base + k) if opened else None)
+        if plain := plain_block(data, state, dialect):
+            opened, closed, state = (plain[0] + base).tolist(), plain[1], plain[2]
+            ends = (closed[closed >= plain[0][0]] + base).tolist() if opened else []
+        else:
+            state, _ = scanner.scan(data, state, lambda k: opened.append(base + k), lambda k: ends.append(base + k) if opened else None)
         for k, (s, e) in enumerate(zip(opened, ends, strict=False)):
             yield row + k, s, e, data[s - base : e - base]
         if len(opened) > len(ends):

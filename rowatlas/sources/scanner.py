@@ -11,6 +11,8 @@ import re
 from collections.abc import Callable
 from dataclasses import dataclass
 
+import numpy as np
+
 #: States between two bytes. RECORD: nothing of the next record was seen; CR: as RECORD, but a LF still belongs to the last end.
 RECORD, FIELD, BARE, QUOTED, CLOSED, CR = range(6)
 STATES = (RECORD, FIELD, BARE, QUOTED, CLOSED, CR)
@@ -79,6 +81,25 @@ class Scanner:
         return state, n
 
 
+def plain_block(data: bytes, state: int, dialect: Dialect) -> tuple[np.ndarray, np.ndarray, int] | None:
+    """Starts, ends and the state after a block without quotes, in whole arrays; None if there is a quote."""
+    if not data or state == QUOTED or (dialect.quote is not None and dialect.quote in data):
+        return None
+    raw = np.frombuffer(data, np.uint8)
+    ends = np.nonzero((raw == 10) | (raw == 13))[0]
+    # A LF after a CR belongs to the end that the CR made, in this block or the one before.
+    before = np.where(ends > 0, raw[ends - 1], 13 if state == CR else 0)
+    second = (raw[ends] == 10) & (before == 13)
+    after = ends[~second] + 1
+    after = after + ((raw[ends[~second]] == 13) & (raw[np.minimum(after, len(raw) - 1)] == 10) & (after < len(raw)))
+    ends = ends[~second]
+    first = np.array([1 if state == CR and raw[0] == 10 else 0] if state in (RECORD, CR) else [], np.int64)
+    starts = np.concatenate([first, after])
+    last = raw[-1]
+    now = CR if last == 13 else RECORD if last == 10 else FIELD if last == dialect.delimiter else BARE
+    return starts[starts < len(raw)], ends, now
+
+
 @dataclass
 class Outcome:
     """For each state at the start of a block: the state after it, and the records that start in it."""
@@ -89,6 +110,9 @@ class Outcome:
 
 def outcome(data: bytes, dialect: Dialect) -> Outcome:
     """Outcomes for all states. A walk ends where it meets the first walk at the start of a record."""
+    if data and (dialect.quote is None or dialect.quote not in data):
+        found = [(QUOTED, 0) if entry == QUOTED else (lambda b: (b[2], len(b[0])))(plain_block(data, entry, dialect)) for entry in STATES]
+        return Outcome(tuple(s for s, _ in found), tuple(n for _, n in found))
     scanner = Scanner(dialect)
     known: dict[int, int] = {}  # place of a record's start: its number in the first walk
     states, counts = [], []

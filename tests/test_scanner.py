@@ -2,7 +2,7 @@ import random
 
 import pytest
 
-from rowatlas.sources.scanner import CSV, LINES, QUOTED, RECORD, STATES, TSV, Dialect, Scanner, outcome, spans
+from rowatlas.sources.scanner import CSV, LINES, QUOTED, RECORD, STATES, TSV, Dialect, Scanner, outcome, plain_block, spans
 
 
 def cut(data: bytes, dialect=CSV) -> list[bytes]:
@@ -96,3 +96,19 @@ def test_dialects():
         with pytest.raises(ValueError):
             Dialect(*bad)
     assert QUOTED in STATES
+
+
+def test_blocks_without_quotes_agree_with_a_walk():
+    rng = random.Random(11)
+    for k in range(600):
+        data = bytes(rng.choice(b"ab,\r\n") for _ in range(rng.randrange(1, 12)))
+        for dialect in (CSV, LINES):
+            for entry in STATES:
+                if entry == QUOTED or (dialect is LINES and entry == 4):
+                    continue
+                starts, ends = [], []
+                state, _ = Scanner(dialect).scan(data, entry, starts.append, ends.append)
+                got = plain_block(data, entry, dialect)
+                assert (got[0].tolist(), got[1].tolist()) == (starts, ends)
+                assert got[2] == state or {got[2], state} <= {1, 2}  # inside a record either way
+    assert plain_block(b'a"', RECORD, CSV) is None
