@@ -80,4 +80,4 @@ def clean(spark: SparkSession, docs: DataFrame, benchmark: DataFrame) -> DataFra
     """``docs`` without the rows whose doc_id contains an item, with all columns."""
     dirty = scratch.Tables(spark).write(contained(spark, docs, benchmark).select(F.col("doc_id").alias("_d")).distinct(), "contaminated")
     few = dirty.count() <= BROADCAST_ROWS
-    return docs.join(F.broadcast(dirty) if few else dirty, F.col("doc_id").cast("long").eqNullSafe(F.col("_d")), "left_anti")
+    return docs.join(F.broadcast(dirty) if few else dirty, docs["doc_id"].cast("long").eqNullSafe(dirty["_d"]), "left_anti")

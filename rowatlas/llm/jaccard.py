@@ -299,7 +299,9 @@ def keep_one(spark: SparkSession, docs: DataFrame, rows: int = ROWS, recall: flo
     marked, linked = _linked(spark, docs, tables, rows, recall)
     heads = tables.write(linked.select("r.doc_id", F.col("r.tk").alias("_t")).distinct().withColumnRenamed("doc_id", "_d"), "heads")
     away = tables.write(marked.join(_sized(linked.select("uid")), "uid", "left_semi").select(F.col("tk").alias("_t")).distinct(), "away")
-    own = docs.withColumn("_tk", F.unhex(F.md5(F.coalesce("text", F.lit("")))))
-    alone = own.join(_sized(away), F.col("_tk") == F.col("_t"), "left_anti")
-    first = own.join(_sized(heads), (F.col("_tk") == F.col("_t")) & F.col("doc_id").cast("long").eqNullSafe(F.col("_d")), "left_semi")
-    return alone.unionByName(first.dropDuplicates(["doc_id", "_tk"])).drop("_tk")
+    # Rows travel as one struct, so no name of theirs can clash.
+    own = docs.select(F.struct("*").alias("row"), F.unhex(F.md5(F.coalesce("text", F.lit("")))).alias("tk"))
+    alone = own.join(_sized(away), F.col("tk") == F.col("_t"), "left_anti")
+    first = own.join(_sized(heads), (F.col("tk") == F.col("_t")) & F.col("row.doc_id").cast("long").eqNullSafe(F.col("_d")), "left_semi")
+    first = first.withColumn("id", F.col("row.doc_id")).dropDuplicates(["id", "tk"]).drop("id")
+    return alone.unionByName(first).select("row.*")

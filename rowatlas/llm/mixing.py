@@ -119,7 +119,7 @@ def mix(spark: SparkSession, docs: DataFrame, weights: tuple[int, ...] = WEIGHTS
     hash, so a source with a third of all rows has a third of all groups.
     """
     tables = scratch.Tables(spark)
-    sized = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.lit(seed), "doc_id", "text").alias("tie"), "source", words(F.col("text")).alias("size"))
+    sized = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.lit(seed), F.col("doc_id").cast("long"), "text").alias("tie"), "source", words(F.col("text")).alias("size"))
     sized = tables.write(sized, "mix-sizes")
     wanted = tables.write(targets(sized, weights, most), "mix-targets")
     ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))  # of a source without words, nothing
@@ -153,12 +153,13 @@ def with_copies(spark: SparkSession, docs: DataFrame, weights: tuple[int, ...] =
     taken = taken.where("total > 0").select(F.col("doc_id").alias("_d"), F.col("tie").alias("_t"), F.floor(F.col("total") / F.col("alike")).cast("int").alias("_each"), (F.col("total") % F.col("alike")).cast("int").alias("_more"))
     taken = tables.write(taken, "mix-copies")
     few = taken.count() <= BROADCAST_ROWS
-    own = F.xxhash64(F.lit(seed), F.col("doc_id").cast("long"), "text")
+    # Rows travel as one struct, so no name of theirs can clash.
+    own = docs.select(F.struct("*").alias("row"), F.xxhash64(F.lit(seed), F.col("doc_id").cast("long"), "text").alias("tie"))
 
     def repeated(verdict: DataFrame, times: str, once: bool) -> DataFrame:
-        rows = docs.withColumn("_own", own).join(F.broadcast(verdict) if few else verdict, (F.col("_own") == F.col("_t")) & F.col("doc_id").cast("long").eqNullSafe(F.col("_d")))
+        rows = own.join(F.broadcast(verdict) if few else verdict, (F.col("tie") == F.col("_t")) & F.col("row.doc_id").cast("long").eqNullSafe(F.col("_d")))
         rows = rows.dropDuplicates(["_d", "_t"]) if once else rows
-        return rows.select(*(docs[c] for c in docs.columns), F.explode(F.array_repeat(F.lit(0), F.col(times))).alias("_k")).drop("_k")
+        return rows.select("row", F.explode(F.array_repeat(F.lit(0), F.col(times))).alias("k")).select("row.*")
 
     out = repeated(taken.where("_each > 0"), "_each", False)
     more = taken.where("_more > 0")

@@ -179,6 +179,7 @@ def _scoring(trees: Trees):
 
 
 def score(docs: DataFrame, trees: Trees) -> DataFrame:
-    """``docs`` (with a column text) and ``score``, higher where label 1 is likelier."""
+    """``docs`` (with a column text) and ``score``, higher where label 1 is likelier; a column of that name is replaced."""
+    docs = docs.drop("score")
     schema = StructType([*docs.schema.fields, StructField("score", DoubleType())])
     return docs.mapInArrow(_scoring(trees), schema)

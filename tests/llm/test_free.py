@@ -70,7 +70,7 @@ def near_copies(seed=4):
 def test_jaccard_is_brute_force(spark, block, monkeypatch):
     monkeypatch.setattr(jaccard, "BLOCK", block)
     docs = near_copies()
-    df = spark.createDataFrame([(i, t, 1) for i, t in docs], "doc_id long, text string, uid int")
+    df = spark.createDataFrame([(i, t, 1, 2) for i, t in docs], "doc_id long, text string, uid int, tk int")
     got = {r.doc_id: r for r in jaccard.join(spark, df).collect()}
     roots, count = links(docs)
     least = defaultdict(lambda: 1 << 60)
@@ -79,7 +79,7 @@ def test_jaccard_is_brute_force(spark, block, monkeypatch):
     assert [got[i].n_links for i, _ in docs] == count
     assert [got[i].class_id for i, _ in docs] == [least[r] for r in roots]
     kept = jaccard.keep_one(spark, df)
-    assert kept.columns == ["doc_id", "text", "uid"] and sorted(r.doc_id for r in kept.collect()) == sorted(least[r] for r in set(roots))
+    assert kept.columns == ["doc_id", "text", "uid", "tk"] and sorted(r.doc_id for r in kept.collect()) == sorted(least[r] for r in set(roots))
 
 
 def test_jaccard_nulls_and_repeats(spark):
@@ -187,7 +187,7 @@ def test_mix_meets_targets(spark, monkeypatch):
     rng = random.Random(6)
     rows = [(k, " ".join("w" * rng.randrange(1, 5) for _ in range(rng.randrange(1, 60))), rng.choice(["é", "a", "B", "z", None, "tiny"] if k < 40 else ["a", "z", None, "B"])) for k in range(900)]
     rows += [(5000, None, "a"), (5001, " \t", "a"), (5002, "x", "zero"), (7000, "twice same", "a"), (7000, "twice same", "a"), (None, "no id", "z")]
-    df = spark.createDataFrame([(*r, 1.0) for r in rows], "doc_id long, text string, source string, target double")
+    df = spark.createDataFrame([(*r, 1.0, 3) for r in rows], "doc_id long, text string, source string, target double, tie int")
     got = mixing.mix(spark, df).collect()
     again = mixing.mix(spark, df.repartition(7)).collect()
     assert sorted(map(str, got)) == sorted(map(str, again)) and len(got) == len(rows)
@@ -228,7 +228,7 @@ def test_quality_held_out_accuracy(spark):
     d = spark.createDataFrame(docs, "doc_id long, text string, score string")
     lab = spark.createDataFrame([*labels, (None, 1, ""), (3, None, "")], "doc_id long, quality int, text string")
     trees = quality.train(spark, d, lab)
-    out = quality.score(d.select("doc_id", "text"), trees).select("*", quality.held_out(F.col("doc_id")).alias("out")).collect()
+    out = quality.score(d, trees).select("*", quality.held_out(F.col("doc_id")).alias("out")).collect()
     held = {k for k in range(900) if zlib.crc32(str(k).encode()) % 3 == 1}
     assert {r.doc_id for r in out if r.out and r.doc_id is not None and r.doc_id < 900} == held
     marks = dict((k, q) for k, q, _ in labels)
