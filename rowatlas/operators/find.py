@@ -81,9 +81,8 @@ def step(ordered: DataFrame, now: int | None, forward: bool = True) -> DataFrame
 
 def neighbours(ordered: DataFrame) -> DataFrame:
     """Each hit with the hits around it; computed from the contiguous ordinal, without a window."""
-    last = ordered.agg(F.max("hit").alias("_last"))
-    shown = ordered.crossJoin(F.broadcast(last))  # one row
-    return shown.withColumn("previous", F.when(F.col("hit") > 0, F.col("hit") - 1)).withColumn("next", F.when(F.col("hit") < F.col("_last"), F.col("hit") + 1)).drop("_last")
+    last = ordered.agg(F.max("hit")).first()[0]
+    return ordered.withColumn("previous", F.when(F.col("hit") > 0, F.col("hit") - 1)).withColumn("next", F.when(F.col("hit") < F.lit(last), F.col("hit") + 1))
 
 
 def stored(ordered: DataFrame, quota: int) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, replace
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 ROWS = 128
@@ -30,8 +30,6 @@ def preview(df: DataFrame, column: str = "bytes", most: int = PREVIEW_BYTES) ->
 
 def within_payload(df: DataFrame, most: int, column: str = "preview", by: str = "row") -> DataFrame:
     """A window's previews cut so that they stay inside a total of bytes, in order. For windows (128 rows) only."""
-    from pyspark.sql import Window
-
     before = Window.orderBy(by).rowsBetween(Window.unboundedPreceding, -1)
     left = F.greatest(F.lit(most) - F.coalesce(F.sum(F.octet_length(column)).over(before), F.lit(0)), F.lit(0))
     kept = df.withColumn("_left", left.cast("int"))
@@ -53,7 +51,7 @@ def parse_row(text: str) -> int:
 
 
 @dataclass(frozen=True)
-class Window_:
+class RowWindow:
     """A window of ``visible`` rows that starts at ``first`` of ``total``."""
 
     total: int
@@ -64,13 +62,13 @@ class Window_:
     def last_first(self) -> int:
         return max(0, self.total - min(self.visible, self.total))
 
-    def seek(self, first: int) -> Window_:
+    def seek(self, first: int) -> RowWindow:
         return replace(self, first=min(max(0, first), self.last_first))
 
-    def center(self, row: int) -> Window_:
+    def center(self, row: int) -> RowWindow:
         return self.seek(min(row, max(0, self.total - 1)) - min(self.visible, self.total) // 2)
 
-    def scroll(self, by: int) -> Window_:
+    def scroll(self, by: int) -> RowWindow:
         return self.seek(min(self.first + by, _U64))
 
     def absolute(self, local: int) -> int | None:

@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from rowatlas.functions import text as T
@@ -297,8 +297,6 @@ s AS (SELECT min(4 * 2**k)::BIGINT AS stride FROM n, range(0, 40) AS r(k) WHERE
 
 def _offsets(spark, d):
     """Orders as records of text with their byte offsets: sums inside ranges, then over ranges."""
-    from pyspark.sql import Window
-
     held = _rows(spark, d, "orders", "o_orderkey", "o_orderstatus", "o_orderpriority").select("row", (F.octet_length("o_orderstatus") + F.octet_length("o_orderpriority") + 2).alias("n"))
     held = held.withColumn("block", F.floor(F.col("row") / 65536))
     total = held.groupBy("block").agg(F.sum("n").alias("t"))
@@ -324,7 +322,7 @@ def checkpoint_byte_index(spark, d):
 
 @query("SELECT 'seek' AS move, greatest(0, least(1990, count(*) - 128)) AS first FROM part UNION ALL SELECT 'center', greatest(0, least(1000 - 64, count(*) - 128)) FROM part UNION ALL SELECT 'scroll', least(0, count(*)) FROM part")
 def row_window_seek(spark, d):
-    w = view.Window_(_table(spark, d, "part").count(), 128)
+    w = view.RowWindow(_table(spark, d, "part").count(), 128)
     moves = [("seek", w.seek(1990).first), ("center", w.center(1000).first), ("scroll", w.seek(50).scroll(-80).first)]
     return spark.createDataFrame(moves, "move string, first long")
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rowatlas.operators import columns, find, index, rows, sort, view
-from rowatlas.sources import delimited, display, fields, formats, lines, xlsx
+from rowatlas.sources import delimited, fields, formats, xlsx
 
 
 @dataclass
@@ -95,5 +95,3 @@ def summary_json(df: DataFrame, text: str = "text") -> DataFrame:
     size = F.coalesce(F.sum(F.octet_length(text)), F.lit(0)).cast("long")
     return df.agg(F.to_json(F.struct(F.count("*").alias("records"), size.alias("payload_bytes"))).alias("summary"))
 
-
-__all__ = ["Document", "display", "lines", "summary_json"]

@@ -101,10 +101,10 @@ def test_hit_pages_steps_and_quota(spark):
 
 
 def test_windows_of_rows():
-    w = view.Window_(1000, 128)
+    w = view.RowWindow(1000, 128)
     assert w.seek(990).first == 872 and w.center(500).first == 436 and w.seek(10).scroll(-50).first == 0 and w.scroll(1 << 70).first == 872
     assert w.seek(990).absolute(127) == 999 and w.absolute(128) is None
-    assert view.Window_(3, 128).seek(2).first == 0
+    assert view.RowWindow(3, 128).seek(2).first == 0
     assert view.parse_row("1") == 0 and view.parse_row("18446744073709551615") == (1 << 64) - 2
     for bad in ("", "0", "1a", "-1", "18446744073709551616", "١"):
         with pytest.raises(ValueError):
