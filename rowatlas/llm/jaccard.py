@@ -37,7 +37,7 @@ BLOCK, BLOCK_SHINGLES = 512, 1_000_000
 #: Representatives of classes with a candidate that are broadcast at most, to choose texts; more are joined by a shuffle.
 BROADCAST_ROWS = 500_000
 #: Words whose hash a worker keeps.
-CACHED_WORDS = 1_000_000
+CACHED_WORDS = 200_000
 _WHITE = " \t\n\x0b\x0c\r"
 
 

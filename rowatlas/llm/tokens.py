@@ -29,7 +29,7 @@ _ODD = "\t\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004
 BROADCAST_SEGMENTS = 1_000_000
 _PAIRS = ("  ", "\n\n", " \n", "\n ")
 #: Pieces kept by a worker; the cache is emptied beyond, never the data.
-CACHED_PIECES = 800_000
+CACHED_PIECES = 250_000
 
 
 def even(text: str) -> bool:
