@@ -3,7 +3,7 @@
 Each round is two joins of edges with the smallest neighbour of a node, found by
 map-side aggregation; no neighbourhood is ever collected, so a node with a third of
 all edges is only a key whose rows are summed. Edges are written to the shared
-folder each round, which cuts the lineage.
+folder each round, which cuts the lineage; rounds end when only stars are left.
 """
 
 from __future__ import annotations
@@ -14,19 +14,23 @@ from pyspark.sql import functions as F
 from rowatlas.llm.scratch import Tables
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
-    """Larger neighbours of a node get the node's smallest neighbour (or itself)."""
+def _round(edges: DataFrame) -> DataFrame:
+    """One large-star and one small-star over edges ``u, v`` with u > v."""
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     least = both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"))
-    return both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+    # Larger neighbours of a node get the smallest of its neighbours and itself.
+    large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    # Smaller neighbours of a node, and the node, get the smallest of them.
+    least = large.groupBy("u").agg(F.min("v").alias("m"))
+    small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
+    return small.unionByName(least.select("u", F.col("m").alias("v"))).distinct()
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
-    """Smaller neighbours of a node, and the node, get the smallest of them."""
-    down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    least = down.groupBy("u").agg(F.min("v").alias("m"))
-    moved = down.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    return moved.unionByName(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
+def _stars(edges: DataFrame) -> bool:
+    """Whether every node with an edge upwards has one such edge, and none downwards."""
+    ends = edges.select(F.col("u").alias("x"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(edges.select(F.col("v").alias("x"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+    each = ends.groupBy("x").agg(F.sum("up").alias("up"), F.max("down").alias("down"))
+    return each.agg(F.max((F.col("up") > 1) | ((F.col("up") > 0) & (F.col("down") > 0)))).first()[0] is not True
 
 
 def components(edges: DataFrame, tables: Tables, name: str = "cc") -> DataFrame:
@@ -34,14 +38,12 @@ def components(edges: DataFrame, tables: Tables, name: str = "cc") -> DataFrame:
 
     ``edges`` has columns ``u, v`` of one orderable type without nulls.
     """
-    now = tables.write(edges.select("u", "v").where("u <> v").distinct(), name)
-    seen = None
+    down = edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
+    now = tables.write(down, name)
     for _ in range(60):
-        now = tables.write(_small_star(_large_star(now)), name)
-        mark = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if mark == seen:
+        if _stars(now):
             break
-        seen = mark
+        now = tables.write(_round(now), name)
     else:
         raise RuntimeError("components did not settle")
-    return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("root"))).distinct()
+    return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())

@@ -129,7 +129,7 @@ def _sets(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             sets = [shingle(t) for t in batch.column("text").to_pylist()]
             ends = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32)
             held = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sets).view(np.int64) if sets else np.empty(0, np.int64)))
-            yield pa.RecordBatch.from_arrays([batch.column("uid"), batch.column("members"), held], ["uid", "members", "sh"])
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("root"), batch.column("members"), held], ["id", "root", "members", "sh"])
 
 
 def _similar(a: list[np.ndarray], b: list[np.ndarray], same: bool) -> tuple[np.ndarray, np.ndarray]:
@@ -183,12 +183,12 @@ def _forest(n: int, i: np.ndarray, j: np.ndarray) -> list[tuple[int, int]]:
     return kept
 
 
-_FOUND = "uid binary, links long, other binary"
+_FOUND = "id long, links long, other long"
 
 
 def _compared(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows sorted by (root, p, q) to link counts (``other`` null) and forest edges (``links`` 0)."""
-    schema = pa.schema([("uid", pa.binary()), ("links", pa.int64()), ("other", pa.binary())])
+    schema = pa.schema([("id", pa.int64()), ("links", pa.int64()), ("other", pa.int64())])
     group: list[tuple] = []
     key, out = None, []
 
@@ -219,7 +219,7 @@ def _compared(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return rows
 
     for batch in batches:
-        roots, ps, qs, bs, uids, members = (batch.column(c).to_pylist() for c in ("root", "p", "q", "b", "uid", "members"))
+        roots, ps, qs, bs, uids, members = (batch.column(c).to_pylist() for c in ("root", "p", "q", "b", "id", "members"))
         lists = batch.column("sh")
         at, flat = lists.offsets.to_numpy(), lists.values.to_numpy(zero_copy_only=False)
         for k in range(batch.num_rows):
@@ -249,29 +249,31 @@ def _linked(spark: SparkSession, docs: DataFrame, tables: scratch.Tables, rows:
     marked = tables.write(keyed.mapInArrow(_features(rows, bands), "doc_id long, tk binary, uid binary, bands array<long>"), "marked")
     # One row per shingle set; its text is found again by the smallest id and the digest of that row.
     sets = marked.where("uid is not null").groupBy("uid").agg(F.count("*").alias("members"), F.min(F.struct("doc_id", "tk")).alias("r"), F.first("bands").alias("bands"))
-    sets = tables.write(sets.select("uid", "members", "r.doc_id", "r.tk", "bands"), "sets")
-    keys = sets.select("uid", F.explode("bands").alias("key"))
-    buckets = keys.groupBy("key").agg(F.min("uid").alias("first"), F.count("*").alias("n")).where("n > 1").select("key", "first")
-    edges = keys.join(buckets, "key").where("uid <> first").select(F.col("uid").alias("u"), F.col("first").alias("v"))
-    groups = tables.write(components(edges, tables, "candidate-edges").withColumnRenamed("node", "uid"), "candidate-groups")
+    # Sets are numbered once, in the written table: numbers are unique and stay.
+    sets = tables.write(sets.select(F.monotonically_increasing_id().alias("id"), "uid", "members", "r.doc_id", "r.tk", "bands"), "sets")
+    keys = sets.select("id", F.explode("bands").alias("key"))
+    buckets = keys.groupBy("key").agg(F.min("id").alias("first"), F.count("*").alias("n")).where("n > 1").select("key", "first")
+    edges = keys.join(buckets, "key").where("id <> first").select(F.col("id").alias("u"), F.col("first").alias("v"))
+    groups = tables.write(components(edges, tables, "candidate-edges").withColumnRenamed("node", "id"), "candidate-groups")
     tables.drop("candidate-edges")
-    near = sets.select("uid", "members", F.col("doc_id").alias("_d"), F.col("tk").alias("_t")).join(groups.select("uid"), "uid", "left_semi")
+    near = sets.select("id", "members", F.col("doc_id").alias("_d"), F.col("tk").alias("_t")).join(groups, "id")
     near = tables.write(near, "near")
     few = near.count() <= BROADCAST_ROWS
-    texts = keyed.join(F.broadcast(near) if few else near, (F.col("tk") == F.col("_t")) & F.col("doc_id").eqNullSafe(F.col("_d"))).select("uid", "members", "text")
-    full = texts.mapInArrow(_sets, "uid binary, members long, sh array<long>")
-    full = tables.write(full.join(groups, "uid").dropDuplicates(["uid"]), "full")
+    texts = keyed.join(F.broadcast(near) if few else near, (F.col("tk") == F.col("_t")) & F.col("doc_id").eqNullSafe(F.col("_d"))).select("id", "root", "members", "text")
+    full = tables.write(texts.mapInArrow(_sets, "id long, root long, members long, sh array<long>").dropDuplicates(["id"]), "full")
     size = full.groupBy("root").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum(F.size("sh")) / BLOCK_SHINGLES)).cast("int").alias("blocks"))
-    placed = full.join(size, "root").withColumn("b", F.pmod(F.xxhash64("uid"), F.col("blocks")).cast("int"))
+    placed = full.join(size, "root").withColumn("b", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     pair = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least("b", o).alias("p"), F.greatest("b", o).alias("q")))
-    dealt = placed.select("root", "b", "uid", "members", "sh", F.explode(pair).alias("pq")).select("root", "pq.p", "pq.q", "b", "uid", "members", "sh")
+    dealt = placed.select("root", "b", "id", "members", "sh", F.explode(pair).alias("pq")).select("root", "pq.p", "pq.q", "b", "id", "members", "sh")
     found = dealt.repartition("root", "p", "q").sortWithinPartitions("root", "p", "q").mapInArrow(_compared, _FOUND)
     found = tables.write(found, "found")
     tables.drop("full", "near", "candidate-groups")
-    links = found.where("other is null").groupBy("uid").agg(F.sum("links").alias("links"))
-    classes = components(found.where("other is not null").select(F.col("uid").alias("u"), F.col("other").alias("v")), tables, "link-edges")
-    named = sets.select("uid", "members", F.struct("doc_id", "tk").alias("own")).join(classes.withColumnRenamed("node", "uid"), "uid", "left").join(links, "uid", "left")
-    named = named.withColumn("root", F.coalesce("root", "uid"))
+    links = found.where("other is null").groupBy("id").agg(F.sum("links").alias("links"))
+    classes = components(found.where("other is not null").select(F.col("id").alias("u"), F.col("other").alias("v")), tables, "link-edges")
+    # Only sets with a link or with copies can share a class.
+    more = classes.withColumnRenamed("node", "id").join(links, "id", "left")
+    named = sets.select("id", "uid", "members", F.struct("doc_id", "tk").alias("own")).join(_sized(tables.write(more, "classes")), "id", "left").where("root is not null or members > 1")
+    named = named.withColumn("root", F.coalesce("root", "id"))
     names = named.groupBy("root").agg(F.min("own").alias("r"), F.sum("members").alias("class_size")).where("class_size > 1")
     linked = named.join(names, "root").select("uid", "r", F.col("r.doc_id").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("members") - 1).alias("n_links"))
     return marked.select("doc_id", "tk", "uid"), tables.write(linked, "linked")
