@@ -27,6 +27,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from rowatlas.llm.sampling import smallest
+
 DICTIONARY_MAGIC = 0x184D2A5D
 SKIPPABLE_MAGIC = 0x184D2A50
 FRAME_MAGIC = 0xFD2FB528
@@ -45,8 +47,8 @@ def train_dictionary(pages: DataFrame, html: str = "html") -> bytes:
     import zstandard
 
     body = F.coalesce(F.col(html), F.lit(""))
-    sample = pages.select(body.alias("h")).where(F.octet_length("h").between(64, DICTIONARY_PAGE_BYTES)).orderBy(F.xxhash64("h"), "h").limit(DICTIONARY_PAGES).collect()
-    texts = [r.h.encode() for r in sample]
+    fit = pages.select("page_id", body.alias("h")).where(F.octet_length("h").between(64, DICTIONARY_PAGE_BYTES))
+    texts = sorted(r.h.encode() for r in smallest(fit, F.xxhash64("page_id", "h"), DICTIONARY_PAGES).select("h").collect())
     if len(texts) < 20:
         return b""
     try:
