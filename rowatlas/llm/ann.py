@@ -4,9 +4,11 @@ Vectors are scaled to length 1. Coarse centroids and the codebooks of residual p
 fitted by k-means on a bounded sample; every vector is indexed. A vector goes to
 its best cell; cells are cut into chunks of bounded size, so a cell with a third of
 all vectors is many tasks. A query visits its ``probes`` best cells: in each chunk an
-asymmetric distance table scores all codes, and the best ``rerank`` of the chunk are
-measured exactly, in double precision, on the original vectors, which lie
-beside their codes. Each chunk gives its k best, which are merged.
+asymmetric distance table scores all codes. The best ``rerank`` of the chunk are measured
+on the original vectors, which lie beside their codes, and give a first k-th score; then
+every code whose upper bound, its rough score plus the stored error of its vector, reaches
+that score is measured too, in double precision. So a chunk loses none of its k best,
+however close its vectors are. Each chunk gives its k best, which are merged.
 
 The share of cells visited is chosen for recall on data without clusters (measured
 in tests against brute force: at least 0.9).
@@ -36,8 +38,10 @@ from rowatlas.llm.sampling import smallest
 SAMPLE_ROWS, SAMPLE_NUMBERS = 20_000, 4_000_000
 #: Vectors of a chunk, and queries of a block, on average; queries that numpy takes at once.
 CHUNK, QUERY_BLOCK = 4096, 128
-#: Share of cells that a query visits, and candidates of a chunk that are measured exactly.
+#: Share of cells that a query visits, and candidates of a chunk that are measured first.
 VISITED, RERANK = 0.7, 60
+#: Room for rounding in bounds of cosines, and numbers of vectors that are measured at once.
+SLACK, MEASURED = 1e-9, 4_000_000
 ROUNDS = 8
 
 
@@ -83,13 +87,14 @@ def _padded(book: np.ndarray, codes: int) -> np.ndarray:
     return np.concatenate([book, np.full((codes - len(book), book.shape[1]), 1e9)]) if len(book) < codes else book
 
 
-def encode(index: Index, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Cell and codes (bytes) of unit vectors."""
+def encode(index: Index, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Cell, codes (bytes) and length of what the codes leave out, of unit vectors."""
     c = index.centroids
     cell = (x @ c.T - (c**2).sum(1) / 2).argmax(1)
     rest = x - c[cell]
     codes = [(part @ book.T - (book**2).sum(1) / 2).argmax(1) for part, book in zip(np.split(rest, len(index.books), axis=1), index.books, strict=True)]
-    return cell, np.stack(codes, 1).astype(np.uint8)
+    known = np.concatenate([book[c] for c, book in zip(codes, index.books, strict=True)], 1)
+    return cell, np.stack(codes, 1).astype(np.uint8), np.linalg.norm(rest - known, axis=1)
 
 
 def _unit(v: np.ndarray) -> np.ndarray:
@@ -107,8 +112,8 @@ def _indexing(index: Index, d: int):
         for b in batches:
             if not b.num_rows:
                 continue
-            cell, codes = encode(index, _unit(_matrix(b.column("v"), d)))
-            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(cell.astype(np.int32)), pa.array([c.tobytes() for c in codes], pa.binary()), b.column("v")], ["id", "cell", "codes", "v"])
+            cell, codes, error = encode(index, _unit(_matrix(b.column("v"), d)))
+            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(cell.astype(np.int32)), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(error), b.column("v")], ["id", "cell", "codes", "error", "v"])
 
     return run
 
@@ -124,7 +129,13 @@ def _probing(index: Index, d: int, probes: int):
     return run
 
 
-def _search_block(index: Index, cell: int, q: np.ndarray, q_id: np.ndarray, x: np.ndarray, x_id: np.ndarray, codes: np.ndarray, k: int, rerank: int) -> tuple[np.ndarray, ...]:
+def _kth(score: np.ndarray, k: int) -> np.ndarray:
+    """The k-th largest of each row, as a column; minus infinity if there are fewer."""
+    n = score.shape[1]
+    return np.partition(score, n - k, axis=1)[:, [n - k]] if n >= k else np.full((len(score), 1), -np.inf)
+
+
+def _search_block(index: Index, cell: int, q: np.ndarray, q_id: np.ndarray, x: np.ndarray, x_id: np.ndarray, unit_x: np.ndarray, codes: np.ndarray, error: np.ndarray, k: int, rerank: int) -> tuple[np.ndarray, ...]:
     """Query, candidate and cosine of the best k of a chunk for each query of a block."""
     unit, parts = _unit(q), len(index.books)
     tables = np.stack([part @ book.T for part, book in zip(np.split(unit, parts, axis=1), index.books, strict=True)])  # (parts, queries, codes)
@@ -132,17 +143,23 @@ def _search_block(index: Index, cell: int, q: np.ndarray, q_id: np.ndarray, x: n
     for p in range(parts):
         rough += tables[p][:, codes[:, p]]
     rough[q_id[:, None] == x_id[None, :]] = -np.inf
-    order = np.argsort(x_id, kind="stable")  # ties by id
-    rough, x, x_id = rough[:, order], x[order], x_id[order]
-    r = min(rerank, len(x))
-    pick = np.argsort(-rough, axis=1, kind="stable")[:, :r] if r < len(x) else np.repeat(np.arange(len(x))[None, :], len(q), 0)
-    dots = np.einsum("qd,qrd->qr", q, x[pick])
-    score = dots / (np.sqrt((q * q).sum(1))[:, None] * np.sqrt((x * x).sum(1))[pick])
-    score[np.isneginf(np.take_along_axis(rough, pick, 1))] = -np.inf
-    best = np.lexsort((x_id[pick], -score), axis=1)[:, :k]
-    score, ids = np.take_along_axis(score, best, 1), x_id[np.take_along_axis(pick, best, 1)]
-    held = ~np.isneginf(score)
-    return np.repeat(q_id, held.sum(1)), ids[held], score[held]
+    r = min(max(rerank, k), len(x))
+    pick = np.argpartition(-rough, r - 1, axis=1)[:, :r]
+    first = np.einsum("qd,qrd->qr", unit, unit_x[pick])
+    first[np.isneginf(np.take_along_axis(rough, pick, 1))] = -np.inf
+    open_ = (rough + error >= _kth(first, k) - SLACK) & ~np.isneginf(rough)
+    at = np.flatnonzero(open_.any(0))
+    near = np.where(open_[:, at], unit @ unit_x[at].T, -np.inf)
+    a, b = np.nonzero((near >= _kth(near, k) - SLACK) & ~np.isneginf(near))
+    b = at[b]
+    # Equal vectors must have equal scores to the last bit, which a matrix product does not promise.
+    step = max(1, MEASURED // x.shape[1])
+    dots = np.concatenate([np.empty(0), *(np.einsum("pd,pd->p", q[a[s : s + step]], x[b[s : s + step]]) for s in range(0, len(a), step))])
+    score = dots / (np.sqrt((q * q).sum(1))[a] * np.sqrt((x * x).sum(1))[b])
+    order = np.lexsort((x_id[b], -score, a))  # ties by id
+    n = np.bincount(a, minlength=len(q))
+    best = order[np.arange(len(a)) - np.repeat(np.cumsum(n) - n, n) < k]
+    return q_id[a[best]], x_id[b[best]], score[best]
 
 
 def _searching(index: Index, d: int, k: int, rerank: int):
@@ -153,8 +170,9 @@ def _searching(index: Index, d: int, k: int, rerank: int):
             x, x_id = _matrix(chunk["v"].combine_chunks(), d), chunk["id"].to_numpy()
             q, q_id = _matrix(asked["v"].combine_chunks(), d), asked["id"].to_numpy()
             codes = np.frombuffer(b"".join(chunk["codes"].to_pylist()), np.uint8).reshape(len(x), -1)
+            unit_x, error = _unit(x), chunk["error"].to_numpy()
             for at in range(0, len(q), QUERY_BLOCK):
-                found = _search_block(index, key[0].as_py(), q[at : at + QUERY_BLOCK], q_id[at : at + QUERY_BLOCK], x, x_id, codes, k, rerank)
+                found = _search_block(index, key[0].as_py(), q[at : at + QUERY_BLOCK], q_id[at : at + QUERY_BLOCK], x, x_id, unit_x, codes, error, k, rerank)
                 out.append(pa.Table.from_arrays([pa.array(c, t) for c, t in zip(found, schema.types, strict=True)], schema=schema))
         return pa.concat_tables(out)
 
@@ -180,7 +198,7 @@ def search(spark: SparkSession, vectors: DataFrame, is_query: Column, k: int = 5
     index = fit(_unit(x), max(1, min(round(math.sqrt(n) / 2), len(x) // 20)))
     cells = len(index.centroids)
     probes = min(cells, max(1, math.ceil(visited * cells)))
-    stored = tables.write(found.mapInArrow(_indexing(index, d), "id long, cell int, codes binary, v array<double>"), "index")
+    stored = tables.write(found.mapInArrow(_indexing(index, d), "id long, cell int, codes binary, error double, v array<double>"), "index")
     asked = found.where(is_query).groupBy("id").agg(F.min("v").alias("v"))
     asked = tables.write(asked.mapInArrow(_probing(index, d, probes), "id long, v array<double>, cells array<int>").select("id", "v", F.explode("cells").alias("cell")), "queries")
     # Chunks and query blocks of a cell: every pair of them is one group of bounded size.
@@ -189,7 +207,7 @@ def search(spark: SparkSession, vectors: DataFrame, is_query: Column, k: int = 5
     plan = F.broadcast(held.join(sought, "cell"))  # one row per cell
     part = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
     each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    chunks = stored.join(plan, "cell").select("cell", part("chunks").alias("chunk"), each("blocks").alias("block"), "id", "codes", "v")
+    chunks = stored.join(plan, "cell").select("cell", part("chunks").alias("chunk"), each("blocks").alias("block"), "id", "codes", "error", "v")
     blocks = asked.join(plan, "cell").select("cell", each("chunks").alias("chunk"), part("blocks").alias("block"), "id", "v")
     keys = ["cell", "chunk", "block"]
     near = chunks.groupBy(*keys).cogroup(blocks.groupBy(*keys)).applyInArrow(_searching(index, d, k, rerank), "query_id long, vec_id long, score double")

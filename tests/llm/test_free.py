@@ -323,6 +323,22 @@ def test_nearest_recall_and_scores(spark):
         assert all(abs(x - v[q] @ v[j] / np.linalg.norm(v[q]) / np.linalg.norm(v[j])) < 1e-12 for j, x in s)
 
 
+@pytest.mark.parametrize("noise", [1e-4, 5e-2])
+def test_nearest_recall_among_near_copies(spark, noise):
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(6000, 16))
+    x[::3] = x[0] + noise * rng.normal(size=(2000, 16))
+    asked = np.arange(0, 6000, 50)
+    got = defaultdict(set)
+    for r in ann.search(spark, spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, v array<double>"), F.col("id") % 50 == 0).collect():
+        got[r.query_id].add(r.vec_id)
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    cos = unit[asked] @ unit.T
+    cos[np.arange(len(asked)), asked] = -2
+    hits = np.array([len(got[q] & set(np.argsort(-c)[:5].tolist())) / 5 for q, c in zip(asked.tolist(), cos, strict=True)])
+    assert hits[asked % 3 == 0].mean() >= 0.9 and hits[asked % 3 > 0].mean() >= 0.9
+
+
 def test_nearest_of_few(spark):
     kind = "id long, v array<float>"
     assert ann.search(spark, spark.createDataFrame([], kind), F.col("id") % 50 == 0).count() == 0
