@@ -14,12 +14,14 @@ the exact shingles as strings.
 
 Defined cases: null texts, and texts under five words, contain and are contained by
 nothing; rows that share a doc_id (null too) or an item_id count as one, with the best of their
-containments; empty tables give no rows; other columns are ignored.
+containments, but ``clean`` judges each text of a doc_id alone; empty tables give no rows; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import math
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -53,8 +55,14 @@ def _items(benchmark: DataFrame) -> DataFrame:
 
 def contained(spark: SparkSession, docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """``doc_id, item_id, n_item, n_shared, containment`` for every document and item it contains."""
+    checked = _checked(spark, docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), benchmark, "doc_id")
+    best = F.max(F.struct((F.col("n_shared") / F.col("n_item")).alias("containment"), "n_shared", "n_item")).alias("b")
+    return checked.groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", "b.n_item", "b.n_shared", "b.containment")
+
+
+def _checked(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, *keys: str) -> DataFrame:
+    """``keys``, ``item_id, n_item, n_shared`` for every row of ``docs`` and item it contains; rows alike in ``keys`` share candidates."""
     tables = scratch.Tables(spark)
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     items = tables.write(_items(benchmark), "items")
     size = items.agg(F.coalesce(F.sum(F.size("sketch")), F.lit(0)), F.coalesce(F.sum(F.octet_length(F.array_join("shingles", " "))), F.lit(0))).first()
     blocks = max(1, math.ceil(size[0] / BROADCAST_ROWS))
@@ -62,22 +70,23 @@ def contained(spark: SparkSession, docs: DataFrame, benchmark: DataFrame) -> Dat
     found = None
     for b in range(blocks):
         part = sketches.where(F.pmod("h", F.lit(blocks)) == b)
-        hit = S.streamed(docs, S.split_words(F.col("text")), "doc_id").join(F.broadcast(part), "h").select("doc_id", "item_id")
+        hit = S.streamed(docs, S.split_words(F.col("text")), *keys).join(F.broadcast(part), "h").select(*keys, "item_id")
         found = hit if found is None else found.unionByName(hit)
     candidates = tables.write(found.distinct(), "candidates")
     few = candidates.count() <= BROADCAST_ROWS
-    by_doc = candidates.select(F.col("doc_id").alias("_d"), "item_id")
-    near = docs.join(F.broadcast(by_doc) if few else by_doc, F.col("doc_id").eqNullSafe(F.col("_d"))).select("doc_id", "item_id", S.split_words(F.col("text")).alias("w"))
+    by_doc = candidates.select(*(F.col(k).alias(f"_{k}") for k in keys), "item_id")
+    near = docs.join(F.broadcast(by_doc) if few else by_doc, reduce(and_, (F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys))).select(*keys, "item_id", S.split_words(F.col("text")).alias("w"))
     whole = items.select(F.col("item_id").alias("_i"), "shingles", "n_item")
     pairs = near.join(F.broadcast(whole) if size[1] <= BROADCAST_BYTES else whole, F.col("item_id").eqNullSafe(F.col("_i")))
     shared = F.size(F.array_intersect("shingles", S.texts(F.col("w")))).cast("long")
-    checked = pairs.select("doc_id", "item_id", "n_item", shared.alias("n_shared")).where(F.col("n_shared") * SHARE[1] >= F.col("n_item") * SHARE[0])
-    best = F.max(F.struct((F.col("n_shared") / F.col("n_item")).alias("containment"), "n_shared", "n_item")).alias("b")
-    return checked.groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", "b.n_item", "b.n_shared", "b.containment")
+    return pairs.select(*keys, "item_id", "n_item", shared.alias("n_shared")).where(F.col("n_shared") * SHARE[1] >= F.col("n_item") * SHARE[0])
 
 
 def clean(spark: SparkSession, docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """``docs`` without the rows whose doc_id contains an item, with all columns."""
-    dirty = scratch.Tables(spark).write(contained(spark, docs, benchmark).select(F.col("doc_id").alias("_d")).distinct(), "contaminated")
+    """``docs`` without the rows that contain an item, with all columns; rows are told apart by doc_id and text."""
+    # Rows travel as one struct, so no name of theirs can clash.
+    own = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text", F.unhex(F.md5(F.coalesce("text", F.lit("")))).alias("tk"))
+    found = _checked(spark, own.select("doc_id", "text", "tk"), benchmark, "doc_id", "tk")
+    dirty = scratch.Tables(spark).write(found.select(F.col("doc_id").alias("_d"), F.col("tk").alias("_t")).distinct(), "contaminated")
     few = dirty.count() <= BROADCAST_ROWS
-    return docs.join(F.broadcast(dirty) if few else dirty, docs["doc_id"].cast("long").eqNullSafe(dirty["_d"]), "left_anti")
+    return own.join(F.broadcast(dirty) if few else dirty, (F.col("tk") == F.col("_t")) & F.col("doc_id").eqNullSafe(F.col("_d")), "left_anti").select("row.*")

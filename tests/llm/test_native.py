@@ -87,6 +87,13 @@ def test_containment_is_brute_force(spark, corpus):
     assert kept.columns == ["doc_id", "text", "item_id"] and sorted(map(str, (r.doc_id for r in kept.collect()))) == sorted(str(d) for d, _, _ in docs if d not in dirty)
 
 
+def test_clean_rows_of_a_shared_id_stay(spark):
+    item = "one two three four five six seven"
+    rows = [(None, f"so {item} it is", 1), (None, "a clean text of some more words", 2), (None, None, 3), (7, item, 4), (7, "another clean text of the same id", 5), (7, item, 6), (8, f"{item} again", 7)]
+    kept = decontaminate.clean(spark, spark.createDataFrame(rows, "doc_id long, text string, _d int"), spark.createDataFrame([(1, item)], "item_id long, text string"))
+    assert kept.columns == ["doc_id", "text", "_d"] and sorted(r._d for r in kept.collect()) == [2, 3, 5]
+
+
 def test_containment_of_empty_tables(spark, corpus):
     none, docs = spark.createDataFrame([], "item_id long, text string"), spark.createDataFrame(corpus[1], "doc_id long, text string, z string")
     assert decontaminate.contained(spark, docs, none).count() == 0
