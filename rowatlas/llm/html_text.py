@@ -6,7 +6,11 @@ node adds up the densities of its children. The node with the largest sum is the
 the smallest density on its path to the body is the threshold: siblings of path nodes
 at or above it, and the enclosing article, belong to the text too. Elements that are never
 part of an article (menus, headers, footers, sidebars, notices, adverts, forms,
-comments, scripts) go first, by name, role or class.
+comments, scripts) go first, by name, role or class. A word of a class, id or role is
+a prior only: an element stays if it holds the core and more of the page's text than all
+unmarked elements, a main, or the only articles; inside an article, headings stay, sections
+do whatever their id (but comments), and text elements with a word that can name a subject
+("notice", "legal") unless they are links.
 
 Defined cases: a null or empty page gives an empty text; a page without a body, or
 without any markup, is its own body; unclosed and crossed tags end where their
@@ -46,6 +50,13 @@ AWAY = frozenset(
     "cookie cookies consent gdpr notice notices notification notifications alert popup modal overlay newsletter subscribe subscription signup login share sharing social related recommended recommendations "
     "comment comments disqus reply replies respond discussion widget widgets toolbar pagination pager skip copyright contentinfo complementary search searchbox hidden paywall topbar disclaimer legal privacy toc taboola outbrain lightbox".split()
 )
+#: Those of readers' comments.
+COMMENTS = frozenset("comment comments disqus reply replies respond discussion".split())
+#: Those that may as well name what a part of an article is about.
+SUBJECTS = frozenset("discussion related privacy legal notice notices notification notifications disclaimer copyright alert search reply replies recommended recommendations".split())
+#: Elements that hold the text of an article itself.
+TEXTS = frozenset("section p li dt dd tr td th pre blockquote table".split())
+_STATE = re.compile(r"(?:has|no|with|without)[-_]")
 _TOKEN = re.compile(r"<!--.*?(?:--!?>|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<(?=[a-zA-Z/])[^>]*\Z|[^<]+|<", re.S)
 _MARK = re.compile(r"""(?:^|[\s"'/])(class|id|role|hidden|style|aria-hidden)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
@@ -53,16 +64,17 @@ _HEADS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
 
 
 class Node:
-    __slots__ = ("tag", "parent", "children", "gone", "header", "chars", "tags", "link_chars", "link_tags", "density", "sum")
+    __slots__ = ("tag", "parent", "children", "gone", "header", "named", "by_id", "chars", "tags", "link_chars", "link_tags", "density", "sum")
 
     def __init__(self, tag: str, parent: Node | None, gone: bool = False, header: str = ""):
         self.tag, self.parent, self.children, self.gone, self.header = tag, parent, [], gone, header
+        self.named, self.by_id = frozenset(), False
         self.chars = self.tags = self.link_chars = self.link_tags = 0
         self.density = self.sum = 0.0
 
 
 def _away(tag: str, marks: str) -> bool:
-    """Whether an element is no part of any article."""
+    """Whether an element is no part of any article, or not shown."""
     if tag in NEVER:
         return True
     if tag in ("html", "body") or not marks:
@@ -71,15 +83,24 @@ def _away(tag: str, marks: str) -> bool:
         name, value = name.lower(), value.strip("\"'")
         if name == "hidden" or (name == "aria-hidden" and value.lower() == "true") or (name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I)):
             return True
-        if name in ("class", "id", "role"):
-            said = {w.lower() for w in _WORD.findall(value)} & AWAY
-            if tag in ("article", "main"):
-                said &= {"comment", "comments", "reply", "advert", "advertisement", "sponsored"}
-            if said:
-                return True
     return False
 
 
+def _named(tag: str, marks: str) -> tuple[frozenset[str], bool]:
+    """Words of AWAY among an element's names, and whether its id alone has them."""
+    if tag in ("html", "body") or not marks:
+        return frozenset(), False
+    by_id, other = set(), set()
+    for name, value in _MARK.findall(marks):
+        if (name := name.lower()) in ("class", "id", "role"):
+            said = {w.lower() for part in value.strip("\"'").split() if not _STATE.match(part) for w in _WORD.findall(part)} & AWAY
+            (by_id if name == "id" else other).update(said)
+    if tag in ("article", "main"):
+        only = {"comment", "comments", "reply", "advert", "advertisement", "sponsored"}
+        by_id, other = by_id & only, other & only
+    return frozenset(by_id | other), not other
+
+
 def _header(tag: str, marks: str) -> str:
     """"page" for what a name or class calls a header, "text" if it is called that of a text, else ""."""
     if tag in ("html", "body", "article", "main"):
@@ -127,6 +148,7 @@ def parse(page: str) -> Node:
             if last is not None:
                 now = last.parent
         node = Node(tag, now, _away(tag, marks), _header(tag, marks) if tag == "header" or "header" in marks.lower() else "")
+        node.named, node.by_id = _named(tag, marks)
         now.children.append(node)
         if tag in RAW:
             end = re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.I).search(page, at)
@@ -153,6 +175,9 @@ def _order(top: Node) -> list[Node]:
 
 def _weigh(nodes: list[Node]) -> None:
     """Counts, densities and density sums, from the leaves up."""
+    for node in nodes:
+        node.chars = node.tags = node.link_chars = node.link_tags = 0
+        node.density = node.sum = 0.0
     for node in reversed(nodes):
         for c in node.children:
             if isinstance(c, str):
@@ -220,6 +245,7 @@ def main_text(page: str | None) -> str:
     if not page:
         return ""
     top = parse(page)
+    drop_named(top)
     drop_headers(top)
     nodes = _order(top)
     _weigh(nodes)
@@ -254,6 +280,66 @@ def main_text(page: str | None) -> str:
     return "\n".join(blocks)
 
 
+def drop_named(top: Node) -> None:
+    """Elements whose names are of no article go, unless what they hold speaks against it."""
+    nodes = _order(top)
+    if not any(n.named for n in nodes):
+        return
+    talk = [n for n in nodes if n.named & COMMENTS]
+    for n in talk:  # comments are the core only if there is nothing else
+        n.gone = True
+    left = _order(top)
+    for n in talk:
+        n.gone = False
+    _weigh(nodes)
+    plain = {id(n): 0 for n in nodes}  # characters outside links and marked elements
+    arts, mains = dict(plain), dict(plain)
+    for n in reversed(nodes):
+        plain[id(n)] += sum(len("".join(c.split())) for c in n.children if isinstance(c, str))
+        if n.tag == "a" or n.header == "page":
+            plain[id(n)] = 0
+        if (up := n.parent) is not None:
+            if not n.named:
+                plain[id(up)] += plain[id(n)]
+            if not (n.named and n.tag in ("article", "main")):
+                arts[id(up)] += arts[id(n)] + (n.tag == "article")
+                mains[id(up)] += mains[id(n)] + (n.tag == "main")
+    _weigh(left)
+    core = max(left, key=lambda n: n.sum)
+    if not core.sum:
+        _weigh(nodes)
+        core = max(nodes, key=lambda n: n.sum)
+    _weigh(nodes)
+    holds, node = {id(core)}, core
+    while (node := node.parent) is not None:
+        holds.add(id(node))
+    outside, free = plain[id(top)], 0
+    stack: list[tuple[Node, bool]] = [(top, False)]
+    while stack:  # articles outside marked elements
+        node, _ = stack.pop()
+        free += node.tag == "article"
+        stack.extend((c, False) for c in node.children if not isinstance(c, str) and not c.gone and not c.named)
+    stack = [(top, False)]
+    while stack:
+        node, inside = stack.pop()
+        if node.named:
+            links = node.link_chars * 2 >= node.chars
+            if id(node) in holds and (inside or plain[id(node)] > outside):
+                stays = True
+            elif inside:
+                weak = node.named <= SUBJECTS
+                stays = node.tag in _HEADS or (node.tag == "section" and node.by_id and not node.named & {"comment", "comments", "disqus"}) or (weak and (node.by_id or node.tag in TEXTS) and not links)
+            else:
+                stays = bool(mains[id(node)] or (arts[id(node)] and not free))
+            if not stays:
+                node.gone = True
+                continue
+            if not inside:
+                outside += plain[id(node)]
+        inside = inside or node is core or node.tag == "article" or (node.tag == "main" and not arts[id(node)])
+        stack.extend((c, inside) for c in reversed(node.children) if not isinstance(c, str) and not c.gone)
+
+
 def drop_headers(top: Node) -> None:
     """Headers go, unless they are the heading of a text: with a heading and few links, inside an article or called so."""
     for node in _order(top):

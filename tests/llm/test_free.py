@@ -281,6 +281,22 @@ def test_html_cases(page, want):
     assert html_text.main_text(page) == want
 
 
+LONG = "The text of the article is long enough to be the core of the page, with many words."
+
+
+@pytest.mark.parametrize("names", ["class='has-sidebar'", "class=no-sidebar", "class=nav-fixed", "class=modal-open", "id=page-menu", "role=navigation"])
+@pytest.mark.parametrize("tag", ["article", "main", "div"])
+def test_html_wrappers_with_names_of_other_things(names, tag):
+    page = f"<div id=page {names}><header>Site</header><div class=menu><a href=a>A</a></div><{tag}><h1>T</h1><p>{LONG}</p></{tag}><div id=comments><p>Short talk.</p></div><div class=sidebar>Side</div></div>"
+    assert html_text.main_text(page) == f"T\n{LONG}"
+
+
+def test_html_names_inside_an_article():
+    page = f"""<article><h1>T</h1><p>{LONG}</p><section id="discussion"><h2 id="related-work">R</h2><p>{LONG}</p></section><h2 id="privacy">P</h2><p class="notice">N note</p><p class="legal">L note</p>
+<div class="share">Share me</div><div class="ad">Buy now</div><p class="related"><a href=x>More</a></p><section id="comments"><p>{LONG}</p></section></article>"""
+    assert html_text.main_text(page).split("\n") == ["T", LONG, "R", LONG, "P", "N note", "L note"]
+
+
 def test_html_deep_and_broken_pages(spark):
     deep = "<div>" * 5000 + "<p>deep text</p>" + "</div>" * 2000
     assert html_text.main_text(deep) == "deep text"
