@@ -3,8 +3,9 @@
 A tolerant parser builds the tree of a page. For every node the density is its
 characters per tag, lowered by the share of characters and tags in links; the density sum of a
 node adds up the densities of its children. The node with the largest sum is the core;
-the smallest density on its path to the body is the threshold: siblings of path nodes
-at or above it, and the enclosing article, belong to the text too. Elements that are never
+the smallest density on its path to the body is the threshold: the enclosing article (or main)
+belongs to the text whole, and of what lies beside the path siblings at or above the threshold,
+headings, and bare text of path nodes with what is in its lines. Elements that are never
 part of an article (menus, headers, footers, sidebars, notices, adverts, forms,
 comments, scripts) go first, by name, role or class. A word of a class, id or role is
 a prior only: an element stays if it holds the core and more of the page's text than all
@@ -211,28 +212,50 @@ def _chosen(nodes: list[Node]) -> list[Node]:
     holder = core
     while holder is not body and holder.tag not in ("article", "main"):
         holder = holder.parent
-    if holder is not body:
-        outer = holder
-        while outer is not body:
-            outer = outer.parent
-            if outer.tag == "article":
-                holder = outer
-        parts = [n for n in holder.parent.children if not isinstance(n, str) and not n.gone and n.tag == "article"] if holder.tag == "article" else [holder]
-        return [p for p in parts if p is holder or p.density >= holder.density] or [holder]
+    outer = holder
+    while outer is not body:
+        outer = outer.parent
+        if outer.tag == "article":
+            holder = outer
     path, node = [core], core
     while node is not body:
         node = node.parent
         path.append(node)
     least = min(n.density for n in path)
-    keep = {id(core)}
-    for parent in path[1:]:
-        on_path = {id(n) for n in path}
-        for c in parent.children:
-            if not isinstance(c, str) and not c.gone and id(c) not in on_path and c.chars and c.link_chars * 2 < c.chars and (c.density >= least or c.tag in _HEADS):
-                keep.add(id(c))
-    if core is body:
-        return [body]
-    return [n for n in inside if id(n) in keep]
+    root = holder if holder is not body else core
+    before, after = [], []
+    for node, parent in zip(path[path.index(root) :], path[path.index(root) + 1 :], strict=False):
+        at = next(k for k, c in enumerate(parent.children) if c is node)
+        before = _kept(parent.children[:at], least) + before
+        after += _kept(parent.children[at + 1 :], least)
+    return [*before, root, *after]
+
+
+def _kept(children: list, least: float) -> list[Node]:
+    """What belongs to the text of the children of a path node beside the path: dense nodes, headings, and its own text with what is in its lines."""
+    out: list[Node] = []
+    run: list = []
+
+    def close() -> None:
+        line = Node("#line", None)
+        line.children = list(run)
+        nodes = [c for c in run if not isinstance(c, str)]
+        run.clear()
+        own = sum(len("".join(c.split())) for c in line.children if isinstance(c, str))
+        if not own:
+            out.extend(c for c in nodes if c.link_chars * 2 < c.chars and c.density >= least)
+        elif sum(c.link_chars for c in nodes) * 2 < own + sum(c.chars for c in nodes):
+            out.append(line)
+
+    for c in children:
+        if isinstance(c, str) or (not c.gone and c.tag not in BLOCKS):
+            run.append(c)
+            continue
+        close()
+        if not c.gone and c.chars and c.link_chars * 2 < c.chars and (c.density >= least or c.tag in _HEADS):
+            out.append(c)
+    close()
+    return out
 
 
 def _links_only(node: Node) -> bool:

@@ -297,6 +297,13 @@ def test_html_names_inside_an_article():
     assert html_text.main_text(page).split("\n") == ["T", LONG, "R", LONG, "P", "N note", "L note"]
 
 
+def test_html_text_beside_the_article():
+    beside = f"<main><h1>T</h1><p>Lead. {LONG}</p><article>{f'<p>{LONG}</p>' * 4}</article><article><p>{LONG}</p><p>{LONG}  <b>A</b></p></article></main>"
+    assert html_text.main_text(beside).split("\n") == ["T", f"Lead. {LONG}", *[LONG] * 4, LONG, f"{LONG} A"]
+    bare = f"<body>bare <b>bold</b> text<br>and more<div><p>{LONG}</p><p>{LONG}</p></div>tail <a href=x>link</a> text<div class=menu><a href=a>A</a></div></body>"
+    assert html_text.main_text(bare).split("\n") == ["bare bold text and more", LONG, LONG, "tail link text"]
+
+
 def test_html_deep_and_broken_pages(spark):
     deep = "<div>" * 5000 + "<p>deep text</p>" + "</div>" * 2000
     assert html_text.main_text(deep) == "deep text"
