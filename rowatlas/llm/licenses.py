@@ -24,6 +24,7 @@ from __future__ import annotations
 
 import math
 from functools import reduce
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -53,6 +54,10 @@ TEMPLATES = {
 }
 
 
+#: Whole texts of licenses, one file each, named by the license.
+TEXTS = Path(__file__).with_name("license_texts")
+
+
 def size_classes(most: int) -> list[tuple[int, int, int]]:
     """(largest n, S, bands) of the classes up to ``most`` shingles."""
     out, low = [], 1
@@ -68,7 +73,9 @@ def size_classes(most: int) -> list[tuple[int, int, int]]:
 
 
 def templates(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(list(TEMPLATES.items()), "license string, text string")
+    """Short notices, headers, and whole texts."""
+    whole = [(f"{f.stem} text", f.read_text("utf-8")) for f in sorted(TEXTS.glob("*.txt"))]
+    return spark.createDataFrame([*TEMPLATES.items(), *whole], "license string, text string")
 
 
 def _signed(hs: Column, bands: Column) -> Column:
@@ -76,10 +83,11 @@ def _signed(hs: Column, bands: Column) -> Column:
     return F.transform(F.sequence(F.lit(1), bands), lambda j: F.array_min(F.transform(hs, lambda h: F.xxhash64(h, j))))
 
 
-def _prepared(known: DataFrame) -> DataFrame:
+def _prepared(known: DataFrame, tables: scratch.Tables) -> DataFrame:
     """``license, shingles, n, up, stride, bands, hs`` of templates with a shingle."""
-    cut = known.select("license", S.split_normal_words(F.col("text")).alias("w"))
-    own = cut.select("license", F.array_distinct(S.texts(F.col("w"))).alias("shingles"), F.array_distinct(S.hashes(F.col("w"))).alias("hs")).where(F.size("hs") > 0)
+    # Written, or filters on shingles would cut the text again for each of them.
+    cut = tables.write(known.select("license", S.split_normal_words(F.col("text")).alias("w")), "template-words").where(F.size("w") >= S.WORDS)
+    own = cut.select("license", F.array_distinct(S.texts(F.col("w"))).alias("shingles"), F.array_distinct(S.hashes(F.col("w"))).alias("hs"))
     most = own.agg(F.max(F.size("hs"))).first()[0] or 1
     rows = F.array(*(F.struct(F.lit(u).alias("up"), F.lit(s).alias("stride"), F.lit(b).alias("bands")) for u, s, b in size_classes(most)))
     own = own.withColumn("c", F.element_at(F.filter(rows, lambda c: c["up"] >= F.size("hs")), 1))
@@ -93,7 +101,7 @@ def scan(spark: SparkSession, docs: DataFrame, known: DataFrame | None = None) -
     """
     tables = scratch.Tables(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    ready = tables.write(_prepared(known if known is not None else templates(spark)), "templates")
+    ready = tables.write(_prepared(known if known is not None else templates(spark), tables), "templates")
     giving = F.transform(F.sequence(F.lit(1), F.col("bands")), lambda j: F.array_min(F.transform("hs", lambda h: F.struct(F.xxhash64(h, j).alias("v"), h.alias("h")))))
     bands = tables.write(ready.select("license", "up", "stride", "bands", F.posexplode(giving).alias("j", "m")).select("license", "up", "stride", "bands", "j", "m.v", "m.h"), "template-bands")
     n = bands.count()
@@ -111,7 +119,7 @@ def scan(spark: SparkSession, docs: DataFrame, known: DataFrame | None = None) -
     few = windows.agg(F.coalesce(F.sum(F.size("ws")), F.lit(0))).first()[0] <= BROADCAST_ROWS
     near = docs.join(F.broadcast(windows) if few else windows, F.col("doc_id").eqNullSafe(F.col("_d"))).select("doc_id", words.alias("w"), "ws")
     near = near.select("doc_id", "w", F.explode("ws").alias("c")).select("doc_id", "c.*", F.slice("w", F.col("c.k") * F.col("c.stride") + 1, 2 * F.col("c.stride") + S.WORDS - 1).alias("w"))
-    signed = near.withColumn("hs", S.hashes(F.col("w"))).where(F.size("hs") > 0).select("doc_id", "k", "up", "w", F.posexplode(_signed(F.col("hs"), F.col("bands"))).alias("j", "v"))
+    signed = near.where(F.size("w") >= S.WORDS).withColumn("hs", S.hashes(F.col("w"))).select("doc_id", "k", "up", "w", F.posexplode(_signed(F.col("hs"), F.col("bands"))).alias("j", "v"))
     held = bands.select("up", "j", "v", "license").distinct()
     found = signed.join(F.broadcast(held) if n <= BROADCAST_ROWS else held, ["up", "j", "v"])
     found = found.groupBy("doc_id", "k", "up", "license").agg(F.first("w").alias("w"))

@@ -145,6 +145,31 @@ def test_licenses_are_brute_force(spark):
     assert got == want and len(want) > 100
 
 
+def test_whole_license_texts_are_found(spark):
+    rng = random.Random(4)
+    texts = {f.stem: f.read_text("utf-8") for f in licenses.TEXTS.glob("*.txt")}
+    assert {"MIT", "BSD-2-Clause", "BSD-3-Clause", "Apache-2.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "MPL-2.0", "CC0-1.0", "CC-BY-SA-4.0", "Unlicense"} == set(texts)
+    docs, names = [], sorted(texts)
+    for k, name in enumerate(names):
+        part = texts[name].split()
+        for at in rng.sample(range(len(part)), len(part) // 60):
+            part[at] = "zz"
+        prose = lambda n: " ".join(rng.choice("pqrst") + str(rng.randrange(50)) for _ in range(n))
+        docs.append((k, f"{prose(rng.randrange(900))} {' '.join(part)} {prose(300)}"))
+    got = {(r.doc_id, r.license): (r.n_shared, r.n_template, r.at_word) for r in licenses.scan(spark, spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    classes = licenses.size_classes(8000)
+    want = {}
+    for d, t in docs:
+        ws = normal(t)
+        for name, u in texts.items():
+            q = grams(normal(u))
+            stride = next(s for up, s, _ in classes if up >= len(q))
+            best = max((len(q & grams(ws[a : a + 2 * stride + 4])), -a) for a in range(0, len(ws), stride))
+            if best[0] * 5 >= len(q) * 4:
+                want[d, f"{name} text"] = (best[0], len(q), -best[1])
+    assert {k: v for k, v in got.items() if k[1] not in licenses.TEMPLATES} == want and {(k, f"{n} text") for k, n in enumerate(names)} <= set(want)
+
+
 def test_license_bands_meet_their_bound():
     for up, stride, bands in licenses.size_classes(800):
         least = 0.8 * up / (2 * stride + 0.2 * up)
