@@ -1,22 +1,25 @@
 """Main text of web pages by composite text density.
 
-A tolerant parser builds the tree of a page. For every node the density is its
-characters per tag, lowered by the share of characters and tags in links; the density sum of a
-node adds up the densities of its children. The node with the largest sum is the core;
-the smallest density on its path to the body is the threshold: the enclosing article (or main)
-belongs to the text whole, and of what lies beside the path siblings at or above the threshold,
-headings, and bare text of path nodes with what is in its lines. Elements that are never
-part of an article (menus, headers, footers, sidebars, notices, adverts, forms,
-comments, scripts) go first, by name, role or class. A word of a class, id or role is
-a prior only: an element stays if it holds the core and more of the page's text than all
-unmarked elements, a main, or the only articles; inside an article, headings stay, sections
-do whatever their id (but comments), and text elements with a word that can name a subject
-("notice", "legal") unless they are links.
+A tolerant parser builds the tree of a page in one pass. For every node the density is its
+characters per tag, lowered by the share of characters and tags in links; a run of bare text between
+two tags is a node of one tag. The density sum of a node adds up the densities of its
+children. The node with the largest sum (of a paragraph or a line, its parent below the body) is the core and belongs to the text whole; the smallest density
+on its path to the body is the threshold: of what lies beside the path, elements at or above it, headings, and
+bare text of path nodes with what is in its lines belong to the text, too. Inside an article or main that
+holds the core, whatever is beside the path does. Lists and boxes of links go, unless they lie in an article
+or in the running text.
+
+Elements that are never part of an article by their tag or ARIA role (menus, headers, footers, sidebars,
+forms, scripts) do not count. The words of a class or id are a prior only: an element so marked
+stays if it holds the core and more of the page's text than all unmarked elements, a main, or the only articles; inside an
+article, headings stay, sections do whatever their id (but comments), and so does what is marked by words that can
+name a subject ("discussion", "legal") unless it is links.
 
 Defined cases: a null or empty page gives an empty text; a page without a body, or
 without any markup, is its own body; unclosed and crossed tags end where their
-parent ends; a cut tag or comment at the end is dropped; pages nest up to any
-depth (no recursion); repeated rows give repeated rows; other columns are ignored.
+parent ends; a tag or comment cut by the end of the page is dropped, and so is what follows a quote of an attribute that is
+never closed; pages nest up to any depth and every pass is linear in the page; repeated rows give repeated rows;
+other columns are ignored.
 """
 
 from __future__ import annotations
@@ -24,7 +27,11 @@ from __future__ import annotations
 import html
 import math
 import re
+from bisect import bisect
+from collections import Counter, defaultdict
 from collections.abc import Iterable, Iterator
+from dataclasses import dataclass
+from itertools import chain
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -33,7 +40,7 @@ from pyspark.sql import functions as F
 # Element names of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript template xmp iframe noembed noframes".split())
-NEVER = frozenset("script style noscript template head nav footer aside form button select option textarea input iframe svg canvas object embed audio video dialog menu title math".split())
+NEVER = frozenset("script style noscript template head nav footer aside form button select option textarea input iframe svg canvas object embed audio video dialog menu title annotation annotation-xml".split())
 BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 #: An opening tag of the first kind ends an open element of the second.
 CLOSES = {
@@ -45,22 +52,30 @@ CLOSES = {
 #: Elements over which such an end does not reach.
 SCOPE = frozenset("html body table td th ul ol dl div section article main aside nav header footer form blockquote fieldset figure details button".split())
 SCOPE_OF = {"li": frozenset({"ul", "ol", "menu", "dir"}), "dt": frozenset({"dl"}), "dd": frozenset({"dl"}), **dict.fromkeys(("tr", "td", "th", "tbody", "tfoot"), frozenset({"table"}))}
-#: Words of a class, id or role that mark what is no part of an article.
+#: Boundaries over which an end tag of another element does not reach.
+CELLS = frozenset("td th table article".split())
+#: ARIA roles of what is no part of an article.
+ROLES = frozenset("navigation banner contentinfo complementary search form dialog alertdialog menu menubar toolbar tablist".split())
+#: Words of a class or id that mark what is no part of an article.
 AWAY = frozenset(
     "ad ads adv advert adverts advertisement advertising adsense adslot banner sponsor sponsored promo promotion nav navbar navigation menu submenu breadcrumb breadcrumbs sidebar sidenav rail footer masthead "
-    "cookie cookies consent gdpr notice notices notification notifications alert popup modal overlay newsletter subscribe subscription signup login share sharing social related recommended recommendations "
-    "comment comments disqus reply replies respond discussion widget widgets toolbar pagination pager skip copyright contentinfo complementary search searchbox hidden paywall topbar disclaimer legal privacy toc taboola outbrain lightbox".split()
+    "cookie cookies consent gdpr popup modal overlay newsletter subscribe subscription signup login share sharing social comment comments disqus respond widget widgets toolbar pagination pager skip contentinfo "
+    "complementary searchbox paywall topbar toc taboola outbrain lightbox".split()
 )
-#: Those of readers' comments.
+#: Words that may as well name what a part of an article is about: they mark if nothing but such words and HELPERS is in the name.
+SUBJECTS = frozenset("discussion related privacy legal notice notices notification notifications disclaimer copyright alert search reply replies recommended recommendations hidden".split())
+HELPERS = frozenset("site page box bar block area section list container wrapper wrap inner outer link links text message msg posts articles stories item items header title top bottom left right".split())
+#: Words of readers' comments.
 COMMENTS = frozenset("comment comments disqus reply replies respond discussion".split())
-#: Those that may as well name what a part of an article is about.
-SUBJECTS = frozenset("discussion related privacy legal notice notices notification notifications disclaimer copyright alert search reply replies recommended recommendations".split())
-#: Elements that hold the text of an article itself.
-TEXTS = frozenset("section p li dt dd tr td th pre blockquote table".split())
 _STATE = re.compile(r"(?:has|no|with|without)[-_]")
-_TOKEN = re.compile(r"<!--.*?(?:--!?>|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<(?=[a-zA-Z/])[^>]*\Z|[^<]+|<", re.S)
-_MARK = re.compile(r"""(?:^|[\s"'/])(class|id|role|hidden|style|aria-hidden)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
+_NAME = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)")
+_BARE = re.compile(r"\s*>")
+_ATTRIBUTE = re.compile(r"""[\s/]*(?:(>)|([^\s/>][^\s/>=]*)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|(?!["'])([^\s>]+)|(["'])?))?)""")
+_COMMENT_END = re.compile(r"--!?>")
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
+_UNSEEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
+#: A core of these is one paragraph of the text of its parent.
+_PARAGRAPHS = frozenset(("p", "pre", "blockquote", "li", "dd", "dt", "h1", "h2", "h3", "h4", "h5", "h6"))
 _HEADS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
 
 
@@ -74,93 +89,152 @@ class Node:
         self.density = self.sum = 0.0
 
 
-def _away(tag: str, marks: str) -> bool:
+def _away(tag: str, marks: dict[str, str]) -> bool:
     """Whether an element is no part of any article, or not shown."""
     if tag in NEVER:
         return True
     if tag in ("html", "body") or not marks:
         return False
-    for name, value in _MARK.findall(marks):
-        name, value = name.lower(), value.strip("\"'")
-        if name == "hidden" or (name == "aria-hidden" and value.lower() == "true") or (name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I)):
-            return True
-    return False
+    return "hidden" in marks or marks.get("aria-hidden", "").lower() == "true" or bool(_UNSEEN.search(marks.get("style", "")))
+
+
+def _said(name: str) -> set[str]:
+    """Words that mark in the value of a class, id or role."""
+    out: set[str] = set()
+    for part in name.split():
+        if not _STATE.match(part):
+            words = {w.lower() for w in _WORD.findall(part)}
+            out |= words & AWAY
+            if words <= AWAY | SUBJECTS | HELPERS:
+                out |= words & SUBJECTS
+    return out
 
 
-def _named(tag: str, marks: str) -> tuple[frozenset[str], bool]:
-    """Words of AWAY among an element's names, and whether its id alone has them."""
+def _named(tag: str, marks: dict[str, str]) -> tuple[frozenset[str], bool]:
+    """Words that mark an element, and whether its id alone has them."""
     if tag in ("html", "body") or not marks:
         return frozenset(), False
-    by_id, other = set(), set()
-    for name, value in _MARK.findall(marks):
-        if (name := name.lower()) in ("class", "id", "role"):
-            said = {w.lower() for part in value.strip("\"'").split() if not _STATE.match(part) for w in _WORD.findall(part)} & AWAY
-            (by_id if name == "id" else other).update(said)
+    by_id, other = _said(marks.get("id", "")), _said(marks.get("class", ""))
+    if (role := marks.get("role", "").strip().lower()) in ROLES:
+        other = other | {role}
     if tag in ("article", "main"):
         only = {"comment", "comments", "reply", "advert", "advertisement", "sponsored"}
         by_id, other = by_id & only, other & only
     return frozenset(by_id | other), not other
 
 
-def _header(tag: str, marks: str) -> str:
+def _header(tag: str, marks: dict[str, str]) -> str:
     """"page" for what a name or class calls a header, "text" if it is called that of a text, else ""."""
-    if tag in ("html", "body", "article", "main"):
+    if tag in ("html", "body", "article", "main") or (tag != "header" and not marks):
         return ""
-    said = {w.lower() for name, value in _MARK.findall(marks) if name.lower() in ("class", "id") for w in _WORD.findall(value)}
+    said = {w.lower() for name in ("class", "id") for w in _WORD.findall(marks.get(name, ""))}
     if tag != "header" and "header" not in said:
         return ""
     return "text" if said & {"article", "post", "entry", "story", "content", "news"} else "page"
 
 
+def _attributes(page: str, at: int) -> tuple[dict[str, str], bool, int] | None:
+    """Attributes of a tag from behind its name, whether it ends in a slash, and where it ends; None if it never does."""
+    if m := _BARE.match(page, at):
+        return {}, False, m.end()
+    found: dict[str, str] = {}
+    while m := _ATTRIBUTE.match(page, at):
+        if m[1]:
+            return found, "/" in page[at : m.end()], m.end()
+        if m[6]:  # a quote that is never closed
+            return None
+        value = m[3] or m[4] or m[5] or ""
+        found.setdefault(m[2].lower(), html.unescape(value) if "&" in value else value)
+        at = m.end()
+    return None
+
+
+class _Open:
+    """The open elements, with the places of each tag, of scopes and of cells."""
+
+    def __init__(self, top: Node):
+        self.stack, self.of, self.scopes, self.cells = [top], defaultdict(list), [0], [0]
+
+    def push(self, node: Node) -> None:
+        k = len(self.stack)
+        self.stack.append(node)
+        self.of[node.tag].append(k)
+        if node.tag in SCOPE:
+            self.scopes.append(k)
+        if node.tag in CELLS:
+            self.cells.append(k)
+
+    def close(self, k: int) -> None:
+        """End the element at place k and all in it."""
+        while len(self.stack) > k:
+            tag = self.stack.pop().tag
+            self.of[tag].pop()
+            if tag in SCOPE:
+                self.scopes.pop()
+            if tag in CELLS:
+                self.cells.pop()
+
+    def end(self, tag: str) -> None:
+        """An end tag; without such an element in reach it is ignored."""
+        if (at := self.of[tag]) and (at[-1] >= self.cells[-1] or tag in SCOPE or tag in ("p", "li")):
+            self.close(at[-1])
+
+    def implied(self, tag: str) -> None:
+        """End what an opening tag ends: the outermost such row, cell or item inside of its list or table, else the nearest."""
+        ends = CLOSES[tag]
+        if tag in SCOPE_OF:
+            wall = max((self.of[t][-1] for t in SCOPE_OF[tag] if self.of[t]), default=0)
+            inside = [at[k] for t in ends if (at := self.of[t]) and (k := bisect(at, wall)) < len(at)]
+            if inside:
+                self.close(min(inside))
+        elif (k := max((self.of[t][-1] for t in ends if self.of[t]), default=0)) > self.scopes[-1]:
+            self.close(k)
+
+
 def parse(page: str) -> Node:
     """The tree of a page; children are nodes and strings (decoded)."""
     top = Node("#", None)
-    now, at, size = top, 0, len(page)
+    opened, at, size = _Open(top), 0, len(page)
     while at < size:
-        m = _TOKEN.match(page, at)
-        at = m.end()
-        tag = m[2]
-        if tag is None:
-            raw = m[0]
-            if raw[0] != "<" or raw == "<":
+        now = opened.stack[-1]
+        m = _NAME.match(page, at) if page[at] == "<" else None
+        if m is None:
+            if page.startswith("<!--", at):
+                end = _COMMENT_END.search(page, at + 2)
+                at = end.end() if end else size
+            elif page.startswith(("<!", "<?"), at):
+                mark = "]]>" if page.startswith("<![CDATA[", at) else ">"
+                end = page.find(mark, at)
+                at = end + len(mark) if end >= 0 else size
+            else:
+                end = page.find("<", at + 1)
+                end = end if end >= 0 else size
+                raw = page[at:end]
                 now.children.append(html.unescape(raw) if "&" in raw else raw)
+                at = end
             continue
-        tag, marks = tag.lower(), m[3]
+        if (read := _attributes(page, m.end())) is None:
+            break
+        marks, slash, at = read
+        tag = m[2].lower()
         if m[1]:
-            node = now
-            while node.parent is not None and node.tag != tag:
-                if node.tag in SCOPE and tag not in SCOPE and tag not in ("p", "li") and node.tag in ("td", "th", "table", "article"):
-                    node = top
-                    break
-                node = node.parent
-            if node.parent is not None:
-                now = node.parent
+            opened.end(tag)
             continue
-        if ends := CLOSES.get(tag):
-            scope, node, last = SCOPE_OF.get(tag, SCOPE), now, None
-            while node.parent is not None:
-                if node.tag in ends:
-                    last = node
-                    if tag not in SCOPE_OF:
-                        break
-                if node.tag in scope and node.tag not in ends:
-                    break
-                node = node.parent
-            if last is not None:
-                now = last.parent
-        node = Node(tag, now, _away(tag, marks), _header(tag, marks) if tag == "header" or "header" in marks.lower() else "")
+        if tag in CLOSES:
+            opened.implied(tag)
+            now = opened.stack[-1]
+        node = Node(tag, now, _away(tag, marks), _header(tag, marks))
         node.named, node.by_id = _named(tag, marks)
         now.children.append(node)
         if tag in RAW:
-            end = re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.I).search(page, at)
+            end = re.compile(rf"</{re.escape(tag)}(?=[\s/>])", re.I).search(page, at)
             inside = page[at : end.start()] if end else page[at:]
             if tag in ("title", "textarea"):
                 node.children.append(html.unescape(inside))
-            at = end.end() if end else size
-        elif tag not in VOID and not marks.endswith("/"):
-            now = node
-        elif marks.endswith("/") and tag not in VOID and tag in BLOCKS:
-            now = node  # a slash does not close an element of HTML
+            close = page.find(">", end.end()) if end else -1
+            at = close + 1 if close >= 0 else size
+        elif tag not in VOID and (not slash or tag in BLOCKS):  # a slash does not close a block of HTML
+            opened.push(node)
     return top
 
 
@@ -174,65 +248,85 @@ def _order(top: Node) -> list[Node]:
     return out
 
 
+def _density(chars: int, tags: int, link_chars: int, link_tags: int, share: float) -> float:
+    """Characters per tag, lowered by links; ``share`` is the share of the page's characters that are in links."""
+    if not chars:
+        return 0.0
+    plain = chars / max(1, tags)
+    # The more of a node is links, the larger the base and the smaller its logarithm.
+    base = math.log(chars / max(1, chars - link_chars) * link_chars + share * chars + math.e)
+    inner = chars / max(1, link_chars) * max(1, tags) / max(1, link_tags)
+    return max(0.0, plain * math.log(inner) / math.log(base)) if inner > 1 and base > 1 else plain * (1 - link_chars / chars)
+
+
+def _size(text: str) -> int:
+    """Characters besides white space."""
+    return len("".join(text.split()))
+
+
 def _weigh(nodes: list[Node]) -> None:
     """Counts, densities and density sums, from the leaves up."""
-    for node in nodes:
-        node.chars = node.tags = node.link_chars = node.link_tags = 0
-        node.density = node.sum = 0.0
+    runs: list[list[int]] = []  # sizes of the runs of bare text of each node
     for node in reversed(nodes):
+        node.chars = node.tags = node.link_chars = node.link_tags = 0
+        own, open_ = [], False
         for c in node.children:
             if isinstance(c, str):
-                node.chars += len("".join(c.split()))
-            elif not c.gone:
-                node.chars, node.tags = node.chars + c.chars, node.tags + c.tags + 1
-                node.link_chars, node.link_tags = node.link_chars + c.link_chars, node.link_tags + c.link_tags
+                if n := _size(c):
+                    if open_:
+                        own[-1] += n
+                    else:
+                        own.append(n)
+                        open_ = True
+            else:
+                open_ = False
+                if not c.gone:
+                    node.chars, node.tags = node.chars + c.chars, node.tags + c.tags + 1
+                    node.link_chars, node.link_tags = node.link_chars + c.link_chars, node.link_tags + c.link_tags
+        node.chars += sum(own)
         if node.tag == "a":
             node.link_chars, node.link_tags = node.chars, node.link_tags + 1
+        runs.append(own)
     whole = nodes[0]
     share = whole.link_chars / whole.chars if whole.chars else 0.0
-    for node in nodes:
-        if not node.chars:
-            continue
-        c, lc = node.chars, node.link_chars
-        plain = c / max(1, node.tags)
-        # The more of a node is links, the larger the base and the smaller its logarithm.
-        base = math.log(c / max(1, c - lc) * lc + share * c + math.e)
-        inner = c / max(1, lc) * max(1, node.tags) / max(1, node.link_tags)
-        node.density = max(0.0, plain * math.log(inner) / math.log(base)) if inner > 1 and base > 1 else plain * (1 - lc / c)
-    for node in nodes:
-        node.sum = sum(c.density for c in node.children if not isinstance(c, str) and not c.gone) + (node.density if any(isinstance(c, str) and c.strip() for c in node.children) else 0.0)
-
-
-def _chosen(nodes: list[Node]) -> list[Node]:
-    """Roots of the main text, in page order."""
-    by_tag = [n for n in nodes if n.tag == "body"]
-    body = by_tag[0] if by_tag else nodes[0]
-    inside = _order(body)
-    core = max(inside, key=lambda n: n.sum)
-    holder = core
-    while holder is not body and holder.tag not in ("article", "main"):
-        holder = holder.parent
-    outer = holder
-    while outer is not body:
-        outer = outer.parent
-        if outer.tag == "article":
-            holder = outer
-    path, node = [core], core
-    while node is not body:
-        node = node.parent
-        path.append(node)
-    least = min(n.density for n in path)
-    root = holder if holder is not body else core
+    for node, own in zip(reversed(nodes), runs, strict=True):
+        node.density = _density(node.chars, node.tags, node.link_chars, node.link_tags, share)
+        node.sum = sum(c.density for c in node.children if not isinstance(c, str) and not c.gone)
+        node.sum += sum(_density(n, 1, n if node.tag == "a" else 0, node.tag == "a", share) for n in own)
+
+
+@dataclass
+class Choice:
+    """The core of a page, the threshold of its path, and the roots of its text in page order, each with whether it lies in an article."""
+
+    core: Node
+    threshold: float
+    roots: list[tuple[Node, bool]]
+
+
+def choose(nodes: list[Node]) -> Choice:
+    """Roots of the main text among weighed nodes."""
+    body = next((n for n in nodes if n.tag == "body"), nodes[0])
+    core = max(_order(body), key=lambda n: n.sum)
+    while core is not body and core.parent is not body and (core.tag in _PARAGRAPHS or core.tag not in BLOCKS):
+        core = core.parent
+    path = [core]
+    while path[-1] is not body:
+        path.append(path[-1].parent)
+    threshold = min(n.density for n in path)
+    # The outermost article around the core, else the outermost main.
+    held = [k for k, n in enumerate(path) if n.tag == "article"] or [k for k, n in enumerate(path) if n.tag == "main"]
+    inside = held[-1] if held else -1
     before, after = [], []
-    for node, parent in zip(path[path.index(root) :], path[path.index(root) + 1 :], strict=False):
-        at = next(k for k, c in enumerate(parent.children) if c is node)
-        before = _kept(parent.children[:at], least) + before
-        after += _kept(parent.children[at + 1 :], least)
-    return [*before, root, *after]
+    for k, (node, parent) in enumerate(zip(path, path[1:], strict=False), 1):
+        at = next(i for i, c in enumerate(parent.children) if c is node)
+        before.append([(n, k <= inside) for n in _beside(parent.children[:at], threshold, k <= inside)])
+        after.append([(n, k <= inside) for n in _beside(parent.children[at + 1 :], threshold, k <= inside)])
+    return Choice(core, threshold, [*chain(*reversed(before)), (core, inside >= 0), *chain(*after)])
 
 
-def _kept(children: list, least: float) -> list[Node]:
-    """What belongs to the text of the children of a path node beside the path: dense nodes, headings, and its own text with what is in its lines."""
+def _beside(children: list, threshold: float, all_: bool) -> list[Node]:
+    """What belongs to the text of the children of a path node beside the path: dense nodes, headings, and its own text with what is in its lines; ``all_``: everything."""
     out: list[Node] = []
     run: list = []
 
@@ -241,26 +335,41 @@ def _kept(children: list, least: float) -> list[Node]:
         line.children = list(run)
         nodes = [c for c in run if not isinstance(c, str)]
         run.clear()
-        own = sum(len("".join(c.split())) for c in line.children if isinstance(c, str))
-        if not own:
-            out.extend(c for c in nodes if c.link_chars * 2 < c.chars and c.density >= least)
-        elif sum(c.link_chars for c in nodes) * 2 < own + sum(c.chars for c in nodes):
-            out.append(line)
+        own = sum(_size(c) for c in line.children if isinstance(c, str))
+        links, chars = sum(c.link_chars for c in nodes), sum(c.chars for c in nodes)
+        if own or all_:
+            if own + chars and (all_ or links * 2 < own + chars):
+                out.append(line)
+        else:
+            out.extend(c for c in nodes if c.link_chars * 2 < c.chars and c.density >= threshold)
 
     for c in children:
         if isinstance(c, str) or (not c.gone and c.tag not in BLOCKS):
             run.append(c)
             continue
         close()
-        if not c.gone and c.chars and c.link_chars * 2 < c.chars and (c.density >= least or c.tag in _HEADS):
+        if not c.gone and c.chars and (all_ or (c.link_chars * 2 < c.chars and (c.density >= threshold or c.tag in _HEADS))):
             out.append(c)
     close()
     return out
 
 
-def _links_only(node: Node) -> bool:
-    """A list or box of links inside a text is a menu."""
-    return node.tag in ("ul", "ol", "div", "section", "table", "dl") and node.link_tags >= 3 and node.link_chars > 0.7 * node.chars
+def _menus(children: list) -> set[int]:
+    """Places of lists and boxes of links that are not in running text: between two texts, or behind a heading."""
+    found = {k for k, c in enumerate(children) if not isinstance(c, str) and not c.gone and c.tag in ("ul", "ol", "div", "section", "table", "dl") and c.link_tags >= 3 and c.link_chars > 0.7 * c.chars}
+    if not found:
+        return found
+    texts = [k for k, c in enumerate(children) if (c.strip() if isinstance(c, str) else not c.gone and c.link_chars * 2 < c.chars)]
+    if not texts:
+        return found
+    last = None
+    for k, c in enumerate(children):
+        if isinstance(c, str) and not c.strip():
+            continue
+        if k in found and (texts[0] < k < texts[-1] or (last is not None and not isinstance(last, str) and last.tag in _HEADS)):
+            found.discard(k)
+        last = c
+    return found
 
 
 def main_text(page: str | None) -> str:
@@ -280,16 +389,16 @@ def main_text(page: str | None) -> str:
             blocks.append(said)
         line.clear()
 
-    for root in _chosen(nodes):
+    for root, inside in choose(nodes).roots:
         close()
-        stack: list = [root]
+        stack: list[tuple] = [(root, inside)]
         while stack:
-            item = stack.pop()
+            item, inside = stack.pop()
             if item is None:
                 close()
             elif isinstance(item, str):
                 line.append(item)
-            elif item.gone or (item is not root and _links_only(item)):
+            elif item.gone:
                 if item.tag in BLOCKS:
                     close()
             elif item.tag == "br":
@@ -297,8 +406,10 @@ def main_text(page: str | None) -> str:
             else:
                 if item.tag in BLOCKS:
                     close()
-                    stack.append(None)
-                stack.extend(reversed(item.children))
+                    stack.append((None, False))
+                inside = inside or item.tag in ("article", "main")
+                away = set() if inside else _menus(item.children)
+                stack.extend((None if k in away else c, inside) for k, c in reversed(list(enumerate(item.children))))
         close()
     return "\n".join(blocks)
 
@@ -350,8 +461,7 @@ def drop_named(top: Node) -> None:
             if id(node) in holds and (inside or plain[id(node)] > outside):
                 stays = True
             elif inside:
-                weak = node.named <= SUBJECTS
-                stays = node.tag in _HEADS or (node.tag == "section" and node.by_id and not node.named & {"comment", "comments", "disqus"}) or (weak and (node.by_id or node.tag in TEXTS) and not links)
+                stays = node.tag in _HEADS or (node.tag == "section" and node.by_id and not node.named & {"comment", "comments", "disqus"}) or (node.named <= SUBJECTS and not links)
             else:
                 stays = bool(mains[id(node)] or (arts[id(node)] and not free))
             if not stays:
@@ -365,14 +475,21 @@ def drop_named(top: Node) -> None:
 
 def drop_headers(top: Node) -> None:
     """Headers go, unless they are the heading of a text: with a heading and few links, inside an article or called so."""
-    for node in _order(top):
-        if not node.header:
-            continue
-        up, held = node.parent, node.header == "text"
-        while up is not None and not held:
-            held, up = up.tag in ("article", "main"), up.parent
-        inside = _order(node)
-        node.gone = not (held and any(n.tag in _HEADS for n in inside) and sum(n.tag == "a" for n in inside) < 3)
+    nodes = _order(top)
+    if not any(n.header for n in nodes):
+        return
+    heads, links, held = Counter(), Counter(), set()
+    for n in reversed(nodes):
+        heads[id(n)] += n.tag in _HEADS
+        links[id(n)] += n.tag == "a"
+        if n.parent is not None:
+            heads[id(n.parent)] += heads[id(n)]
+            links[id(n.parent)] += links[id(n)]
+    for n in nodes:
+        if n.parent is not None and (n.parent.tag in ("article", "main") or id(n.parent) in held):
+            held.add(id(n))
+        if n.header:
+            n.gone = not ((n.header == "text" or id(n) in held) and heads[id(n)] and links[id(n)] < 3)
 
 
 def _extracting(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
