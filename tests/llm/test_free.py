@@ -8,16 +8,13 @@ import zlib
 from collections import defaultdict
 
 import numpy as np
-import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from rowatlas.llm import ann, html_text, jaccard, mixing, quality, tokens, warc
+from rowatlas.llm import ann, jaccard, mixing, quality, warc
 from rowatlas.llm.components import components
 from rowatlas.llm.scratch import Tables
 
-BPE = public_tokenizers.path("byte_bpe_50k.json")
-
 
 def words(text):
     return re.findall(r"[^\x20\x09-\x0D]+", text or "")
@@ -253,69 +250,6 @@ def test_flat_trees_are_the_grown_trees():
     assert ((t.score(x) >= 0.5) == y).mean() > 0.98
 
 
-PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var t="</p>";</script></head><body class="no-sidebar">
-<header><h1>Site</h1><a href=x>Home</a></header><nav><ul><li><a href=a>A</a></ul></nav><div id="cookie-notice">We use cookies</div>
-<div class="ad">Buy now</div><main><article><header><h1>Title &amp; more</h1></header><p>First  paragraph,
- with <b>bold</b> and <a href=q>link</a>.<p>Second&nbsp;one &#233;&eacute;<br>after a break.<ul><li>item one<li>item two</ul>
-<form><input><button>Send</button></form><aside>Related: <a href=z>z</a></aside><blockquote>Quoted</blockquote></article></main>
-<section id="comments"><article class="comment"><p>Nice post, I agree with all of it and more words here to be dense.</p></article></section>
-<aside class="sidebar">Side</aside><footer>&copy; me</footer></body></html>"""
-
-
-def test_html_article():
-    want = ["Title & more", "First paragraph, with bold and link.", "Second one éé after a break.", "item one", "item two", "Quoted"]
-    assert html_text.main_text(PAGE).split("\n") == want
-
-
-@pytest.mark.parametrize(
-    ("page", "want"),
-    [
-        (None, ""), ("", ""), ("plain  text", "plain text"), ("<p>a</p><p>b", "a\nb"), ("<div><p>x</b>y</div>", "xy"), ("<!-- <p>no</p> --><p>yes", "yes"), ("<p>a<!-- cut", "a"), ("<p>a <b", "a"),
-        ("<script>if (a<b) x</script><p>t</p>", "t"), ("<p>1 < 2 &lt; 3</p>", "1 < 2 < 3"), ("<body></body>", ""),
-        ("<body><div class='content'><h2>H</h2><p>Some longer text that is the main part of the page.</p><p>And more of the text.</p></div><div class='menu'><a href=1>x</a></div></body>", "H\nSome longer text that is the main part of the page.\nAnd more of the text."),
-        ("<div id=header><h1>Site</h1></div><div class=post><div class=post-header><h1>Own title</h1></div><p>The text of the post, long enough to be the core.</p></div><div class='site-disclaimer'>Legal</div>", "Own title\nThe text of the post, long enough to be the core."),
-        ("<table><tr><td>a<td>b<tr><td>c</table>", "a\nb\nc"), ("<textarea>t</textarea><p>u", "u"), ("<p hidden>h</p><p style='display:none'>i</p><p>j</p>", "j"),
-    ],
-)
-def test_html_cases(page, want):
-    assert html_text.main_text(page) == want
-
-
-LONG = "The text of the article is long enough to be the core of the page, with many words."
-
-
-@pytest.mark.parametrize("names", ["class='has-sidebar'", "class=no-sidebar", "class=nav-fixed", "class=modal-open", "id=page-menu", "role=navigation"])
-@pytest.mark.parametrize("tag", ["article", "main", "div"])
-def test_html_wrappers_with_names_of_other_things(names, tag):
-    page = f"<div id=page {names}><header>Site</header><div class=menu><a href=a>A</a></div><{tag}><h1>T</h1><p>{LONG}</p></{tag}><div id=comments><p>Short talk.</p></div><div class=sidebar>Side</div></div>"
-    assert html_text.main_text(page) == f"T\n{LONG}"
-
-
-def test_html_names_inside_an_article():
-    page = f"""<article><h1>T</h1><p>{LONG}</p><section id="discussion"><h2 id="related-work">R</h2><p>{LONG}</p></section><h2 id="privacy">P</h2><p class="notice">N note</p><p class="legal">L note</p>
-<div class="share">Share me</div><div class="ad">Buy now</div><p class="related"><a href=x>More</a></p><section id="comments"><p>{LONG}</p></section></article>"""
-    assert html_text.main_text(page).split("\n") == ["T", LONG, "R", LONG, "P", "N note", "L note"]
-
-
-def test_html_text_beside_the_article():
-    beside = f"<main><h1>T</h1><p>Lead. {LONG}</p><article>{f'<p>{LONG}</p>' * 4}</article><article><p>{LONG}</p><p>{LONG}  <b>A</b></p></article></main>"
-    assert html_text.main_text(beside).split("\n") == ["T", f"Lead. {LONG}", *[LONG] * 4, LONG, f"{LONG} A"]
-    bare = f"<body>bare <b>bold</b> text<br>and more<div><p>{LONG}</p><p>{LONG}</p></div>tail <a href=x>link</a> text<div class=menu><a href=a>A</a></div></body>"
-    assert html_text.main_text(bare).split("\n") == ["bare bold text and more", LONG, LONG, "tail link text"]
-
-
-def test_html_deep_and_broken_pages(spark):
-    deep = "<div>" * 5000 + "<p>deep text</p>" + "</div>" * 2000
-    assert html_text.main_text(deep) == "deep text"
-    rng = random.Random(3)
-    bits = ["<p>", "</p>", "<div class=ad>", "</div>", "<b>", "</b>", "x & y", "<", ">", "&amp;", "<a href='", "'>", "<table>", "<td>", "</table>", "<li>", "<script>", "</script>", "<!--", "-->"]
-    for _ in range(400):
-        html_text.main_text("".join(rng.choice(bits) for _ in range(60)))
-    rows = spark.createDataFrame([(1, "u", "<p>a", "t"), (1, "u", "<p>a", "t"), (None, None, None, "t")], "page_id long, url string, html string, text string")
-    assert sorted(map(str, html_text.extract(rows).collect())) == sorted(["Row(page_id=1, url='u', text='a', n_chars=1)"] * 2 + ["Row(page_id=None, url=None, text='', n_chars=0)"])
-    assert html_text.extract(rows.limit(0)).count() == 0
-
-
 def brute(rows, k=5):
     ok = [(i, np.array(v, float)) for i, v in rows if i is not None and v is not None and len(v) == 16 and None not in v and np.isfinite(np.array(v, float)).all() and np.any(np.array(v, float) != 0)]
     out = {}
@@ -367,36 +301,3 @@ def test_nearest_of_few(spark):
     assert ann.search(spark, spark.createDataFrame([], kind), F.col("id") % 50 == 0).count() == 0
     few = spark.createDataFrame([(0, [1.0, 0.0]), (1, [1.0, 1.0]), (2, [-1.0, 0.0]), (0, [1.0, 0.0])], kind)
     assert [(r.query_id, r.rank, r.vec_id) for r in ann.search(spark, few, F.col("id") % 50 == 0).orderBy("rank").collect()] == [(0, 1, 1), (0, 2, 2)]
-
-
-def test_encoder_is_exact():
-    e = tokens.Encoder(BPE)
-    rng = random.Random(4)
-    bits = ["word", "don't", " ", "  ", "\n", "\n\n", "\t", "é", "12", "<|endoftext|>", "😀", "...", "\xa0", " ", "\r\n", "A-b"]
-    texts = ["", " ", *("".join(rng.choice(bits) for _ in range(rng.randrange(20))) for _ in range(600)), *(" ".join(rng.choice(["ab", "c\nd", "it's", "x9"]) for _ in range(12)) for _ in range(100))]
-    ids, n = e.encode(texts)
-    want = [e.tokenizer.encode(t, add_special_tokens=False).ids + [0] for t in texts]
-    assert n.tolist() == [len(w) for w in want] and ids.tolist() == [x for w in want for x in w]
-    assert sum(map(tokens.even, texts)) > 100
-
-
-def test_tokens_round_trip(spark, tmp_path):
-    rows = [(k, f"text {k}\nof {k * k} words", 0) for k in range(300)] + [(1000, None, 0), (1001, "", 0), (7, "again", 0), (None, "first", 0)]
-    random.Random(1).shuffle(rows)
-    df = spark.createDataFrame(rows, "doc_id long, text string, start int")
-    got = tokens.round_trip(spark, df, BPE).collect()
-    e = tokens.Encoder(BPE)
-    order, at, want = sorted(rows, key=lambda r: (-1 if r[0] is None else r[0], r[1] or "")), 0, []
-    for i, t, _ in order:
-        ids = e.tokenizer.encode(t or "", add_special_tokens=False).ids + [0]
-        want.append((i, at, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
-        at += len(ids)
-    assert sorted(map(str, map(tuple, got))) == sorted(map(str, want))
-    path = str(tmp_path / "t")
-    tokens.write_tokens(df, path, BPE)
-    import pyarrow.orc as orc
-
-    files = sorted(str(p) for p in (tmp_path / "t").glob("*.orc"))
-    ids = [orc.ORCFile(f).read(["doc_id"]).column(0).to_pylist() for f in files]
-    assert [x for part in ids for x in part] == [r[0] for r in order]
-    assert tokens.round_trip(spark, df.limit(0), BPE).count() == 0
