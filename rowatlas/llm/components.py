@@ -1,8 +1,8 @@
 """Connected components of a graph in DataFrames: alternating large-star and small-star.
 
 Each round is two joins of edges with the smallest neighbour of a node, found by
-map-side aggregation; no neighbourhood is ever collected, so a node with a third of
-all edges is only a key whose rows are summed. Edges are written to the shared
+map-side aggregation; no neighbourhood is ever collected, and a node with a third of
+all edges meets its edges where they lie (``hot``). Edges are written to the shared
 folder each round, which cuts the lineage; rounds end when only stars are left.
 """
 
@@ -11,18 +11,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from rowatlas.llm.hot import join_counted
 from rowatlas.llm.scratch import Tables
 
 
-def _round(edges: DataFrame) -> DataFrame:
+def _round(edges: DataFrame, tables: Tables, name: str) -> DataFrame:
     """One large-star and one small-star over edges ``u, v`` with u > v."""
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"))
+    least = both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"), F.count("*").alias("n"))
     # Larger neighbours of a node get the smallest of its neighbours and itself.
-    large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    large = join_counted(both.where("v > u"), least, "u", "n", 2 * edges.count()).select(F.col("v").alias("u"), F.col("m").alias("v"))
+    large = tables.write(large, f"{name}-large")
     # Smaller neighbours of a node, and the node, get the smallest of them.
-    least = large.groupBy("u").agg(F.min("v").alias("m"))
-    small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
+    least = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+    small = join_counted(large, least, "u", "n", large.count()).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
     return small.unionByName(least.select("u", F.col("m").alias("v"))).distinct()
 
 
@@ -43,7 +45,8 @@ def components(edges: DataFrame, tables: Tables, name: str = "cc") -> DataFrame:
     for _ in range(60):
         if _stars(now):
             break
-        now = tables.write(_round(now), name)
+        now = tables.write(_round(now, tables, name), name)
+        tables.drop(f"{name}-large")
     else:
         raise RuntimeError("components did not settle")
     return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())

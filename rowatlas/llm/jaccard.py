@@ -2,11 +2,16 @@
 
 MinHash banding finds candidates: ``band_plan`` takes the fewest bands whose recall at
 0.8 reaches the target for a given number of rows. Documents of one shingle set are a
-class and count once. Band hashes are shuffled, each bucket gives one edge from every
-member to its smallest, and connected groups of candidates are then compared
-whole: in blocks, in numpy, on full sets of 64-bit shingle hashes. So a group of n
-near copies costs n rows for each of its blocks, not a row for each pair, and each
+class and count once. Band hashes are shuffled. The members of a bucket are compared in pairs on
+sketches, a byte of each MinHash: pairs that agree in fewer places than similar ones do with near certainty
+(``sketch_floor``) are no candidates, so unlike documents are not chained up by chance
+collisions. A bucket hands over the edges that connect its candidates, not its pairs; a bucket with
+more than ``BUCKET`` members is taken as one group. Connected groups of candidates are then compared
+whole: in blocks, in numpy, on full sets of 64-bit shingle hashes. So a group of n near
+copies costs n rows for each of its blocks, not a row for each pair, and each
 link is still found and counted. Links form the classes that are returned.
+Keys that may hold a third of all rows (a bucket, a group, a text with many copies) are never
+shuffled: see ``hot``.
 
 Defined cases: null and empty texts, and texts of white space, have no shingles: they
 link to nothing and are classes of their own; a text of one to four words has
@@ -28,14 +33,19 @@ from pyspark.sql import functions as F
 
 from rowatlas.llm import scratch
 from rowatlas.llm.components import components
+from rowatlas.llm.hot import join_counted
 
 SHARE = (4, 5)
 ROWS = 5
 RECALL = 0.9999
+#: Probability that the sketches of a similar pair agree in fewer places than ``sketch_floor``.
+MISS = 1e-8
+#: Members of a bucket that are compared in pairs.
+BUCKET = 512
 #: Documents, and shingles, of a block on average.
 BLOCK, BLOCK_SHINGLES = 512, 1_000_000
-#: Representatives of classes with a candidate that are broadcast at most, to choose texts; more are joined by a shuffle.
-BROADCAST_ROWS = 500_000
+#: Representatives of classes with a candidate (about 60 bytes each) that are broadcast at most, to choose texts; more are joined by a shuffle.
+BROADCAST_ROWS = 250_000
 #: Words whose hash a worker keeps.
 CACHED_WORDS = 200_000
 _WHITE = " \t\n\x0b\x0c\r"
@@ -46,6 +56,15 @@ def band_plan(rows: int = ROWS, recall: float = RECALL, share: float = SHARE[0]
     return math.ceil(math.log(1 - recall) / math.log(1 - share**rows))
 
 
+def sketch_floor(places: int, share: float = SHARE[0] / SHARE[1], miss: float = MISS) -> int:
+    """Places in which the sketches of a pair of that similarity agree at least, but for a probability of ``miss``."""
+    seen, k = 0.0, -1
+    while seen <= miss:
+        k += 1
+        seen += math.comb(places, k) * share**k * (1 - share) ** (places - k)
+    return k
+
+
 class Shingler:
     """Sorted distinct 64-bit hashes of the shingles of a text."""
 
@@ -85,20 +104,21 @@ def _signer(rows: int, bands: int, seed: int = 1):
     salt = rng.integers(0, 1 << 63, rows * bands, dtype=np.uint64)
     mix = rng.integers(1, 1 << 63, rows, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
-    def sign(sh: np.ndarray) -> np.ndarray:
-        """A 64-bit key for each band."""
+    def sign(sh: np.ndarray) -> tuple[np.ndarray, bytes]:
+        """A 64-bit key for each band, and a byte of each MinHash."""
         with np.errstate(over="ignore"):
             low = np.full(rows * bands, np.iinfo(np.uint64).max, np.uint64)
             for at in range(0, len(sh), 2048):
                 part = sh[at : at + 2048, None]
                 part = (part ^ salt[None, :]) * factor[None, :]
                 np.minimum(low, part.min(axis=0), out=low)
+            sketch = low.astype(np.uint8).tobytes()
             low = low.reshape(bands, rows)
             key = np.arange(1, bands + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
             for k in range(rows):
                 key = (key ^ low[:, k] ^ (low[:, k] >> np.uint64(31))) * mix[k]
                 key ^= key >> np.uint64(32)
-        return key.view(np.int64)
+        return key.view(np.int64), sketch
 
     return sign
 
@@ -109,14 +129,16 @@ def _features(rows: int, bands: int):
         for whole in batches:
             for at in range(0, whole.num_rows, 512):
                 batch = whole.slice(at, 512)
-                uid, keys = [], []
+                uid, keys, sketches = [], [], []
                 for text in batch.column("text").to_pylist():
                     sh = shingle(text)
                     uid.append(hashlib.blake2b(sh.tobytes(), digest_size=16).digest() if len(sh) else None)
-                    keys.append(sign(sh) if len(sh) else np.empty(0, np.int64))
+                    key, sketch = sign(sh) if len(sh) else (np.empty(0, np.int64), None)
+                    keys.append(key)
+                    sketches.append(sketch)
                 ends = np.concatenate([[0], np.cumsum([len(k) for k in keys])]).astype(np.int32)
                 held = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(keys) if keys else np.empty(0, np.int64)))
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("tk"), pa.array(uid, pa.binary()), held], ["doc_id", "tk", "uid", "bands"])
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("tk"), pa.array(uid, pa.binary()), held, pa.array(sketches, pa.binary())], ["doc_id", "tk", "uid", "bands", "sketch"])
 
     return run
 
@@ -132,11 +154,49 @@ def _sets(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("root"), batch.column("members"), held], ["id", "root", "members", "sh"])
 
 
-def _similar(a: list[np.ndarray], b: list[np.ndarray], same: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Places (i, j) of the pairs with a similarity of SHARE or more; i < j if ``same``."""
+def _alike(floor: int):
+    """Buckets (rows sorted by key, each with n members) to the edges that connect members whose sketches agree in ``floor`` places."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema = pa.schema([("u", pa.int64()), ("v", pa.int64())])
+        key, ids, sketches, u, v = None, [], [], [], []
+
+        def close() -> None:
+            if len(ids) > 1:
+                x = np.frombuffer(b"".join(sketches), np.uint8).reshape(len(ids), -1)
+                for a, b in _forest(len(ids), *_agreeing(x, floor)):
+                    u.append(max(ids[a], ids[b]))
+                    v.append(min(ids[a], ids[b]))
+
+        for batch in batches:
+            for k, i, s in zip(*(batch.column(c).to_pylist() for c in ("key", "id", "sketch")), strict=True):
+                if k != key:
+                    close()
+                    key, ids, sketches = k, [], []
+                ids.append(i)
+                sketches.append(s)
+            if len(u) > 50_000:
+                yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], schema=schema)
+                u.clear(), v.clear()
+        close()
+        yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], schema=schema)
+
+    return run
+
+
+def _agreeing(x: np.ndarray, floor: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places i < j of the rows that are equal in ``floor`` columns."""
+    if len(x) == 2:
+        return (np.array([0]), np.array([1])) if int((x[0] == x[1]).sum()) >= floor else (np.empty(0, int), np.empty(0, int))
+    out = [np.flatnonzero((x[i + 1 :] == x[i]).sum(1) >= floor) + i + 1 for i in range(len(x) - 1)]
+    return np.repeat(np.arange(len(x) - 1), [len(o) for o in out]), np.concatenate(out)
+
+
+def _similar(a: list[np.ndarray], b: list[np.ndarray], same: bool, share: tuple[int, int] = SHARE) -> tuple[np.ndarray, np.ndarray]:
+    """Places (i, j) of the pairs with a similarity of ``share`` or more; i < j if ``same``."""
     na, nb = np.array([len(s) for s in a]), np.array([len(s) for s in b])
     if len(a) * len(b) <= 4:
-        pairs = [(i, j) for i in range(len(a)) for j in range(i + 1 if same else 0, len(b)) if (c := len(np.intersect1d(a[i], b[j], assume_unique=True))) * SHARE[1] >= (na[i] + nb[j] - c) * SHARE[0]]
+        pairs = [(i, j) for i in range(len(a)) for j in range(i + 1 if same else 0, len(b)) if (c := len(np.intersect1d(a[i], b[j], assume_unique=True))) * share[1] >= (na[i] + nb[j] - c) * share[0]]
         return tuple(np.array(pairs, np.int64).reshape(-1, 2).T)
     left, right = np.concatenate(a), np.concatenate(b)
     shared = np.intersect1d(left, right)
@@ -159,7 +219,7 @@ def _similar(a: list[np.ndarray], b: list[np.ndarray], same: bool) -> tuple[np.n
         y[ib[sb], kb[sb] - at] = 1
         count += x @ y.T
     c = np.rint(count).astype(np.int64)
-    ok = c * SHARE[1] >= (na[:, None] + nb[None, :] - c) * SHARE[0]
+    ok = c * share[1] >= (na[:, None] + nb[None, :] - c) * share[0]
     if same:
         ok &= np.arange(len(a))[:, None] < np.arange(len(b))[None, :]
     return np.nonzero(ok)
@@ -186,7 +246,14 @@ def _forest(n: int, i: np.ndarray, j: np.ndarray) -> list[tuple[int, int]]:
 _FOUND = "id long, links long, other long"
 
 
-def _compared(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _comparing(share: tuple[int, int]):
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return _compared(batches, share)
+
+    return run
+
+
+def _compared(batches: Iterable[pa.RecordBatch], share: tuple[int, int]) -> Iterator[pa.RecordBatch]:
     """Rows sorted by (root, p, q) to link counts (``other`` null) and forest edges (``links`` 0)."""
     schema = pa.schema([("id", pa.int64()), ("links", pa.int64()), ("other", pa.int64())])
     group: list[tuple] = []
@@ -200,7 +267,7 @@ def _compared(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             side, other = [g for g in group if g[0] == p], [g for g in group if g[0] == q]
         if not side or not other:
             return
-        i, j = _similar([g[3] for g in side], [g[3] for g in other], p == q)
+        i, j = _similar([g[3] for g in side], [g[3] for g in other], p == q, share)
         if not len(i):
             return
         members_a, members_b = np.array([g[2] for g in side]), np.array([g[2] for g in other])
@@ -241,41 +308,51 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.unhex(F.md5(F.coalesce("text", F.lit("")))).alias("tk"))
 
 
-def _linked(spark: SparkSession, docs: DataFrame, tables: scratch.Tables, rows: int, recall: float) -> tuple[DataFrame, DataFrame]:
+def _candidates(sets: DataFrame, tables: scratch.Tables, places: int, bands: int, share: float) -> DataFrame:
+    """Edges ``u, v`` (numbers of sets) that connect all candidates for a link."""
+    keys = sets.select("id", F.explode("bands").alias("key"))
+    buckets = tables.write(keys.groupBy("key").agg(F.min("id").alias("first"), F.count("*").alias("n")).where("n > 1"), "buckets")
+    held = tables.write(join_counted(keys, buckets, "key", "n", bands * sets.count()), "held")
+    tables.drop("buckets")
+    some = held.where(F.col("n") <= BUCKET).select("key", "id").join(sets.select("id", "sketch"), "id")
+    near = some.repartition("key").sortWithinPartitions("key").mapInArrow(_alike(sketch_floor(places, share)), "u long, v long")
+    return near.unionByName(held.where((F.col("n") > BUCKET) & (F.col("id") != F.col("first"))).select(F.col("id").alias("u"), F.col("first").alias("v")))
+
+
+def _linked(spark: SparkSession, docs: DataFrame, tables: scratch.Tables, rows: int, recall: float, share: tuple[int, int]) -> tuple[DataFrame, DataFrame]:
     """``doc_id, tk, uid`` of every row, and of every set that has a link or a copy:
-    ``uid, class_id, n_links`` and ``r``, the smallest (doc_id, tk) of its class."""
-    bands = band_plan(rows, recall)
+    ``uid, members, class_id, n_links`` and ``r``, the smallest (doc_id, tk) of its class."""
+    bands = band_plan(rows, recall, share[0] / share[1])
     keyed = _keyed(docs)
-    marked = tables.write(keyed.mapInArrow(_features(rows, bands), "doc_id long, tk binary, uid binary, bands array<long>"), "marked")
+    marked = tables.write(keyed.mapInArrow(_features(rows, bands), "doc_id long, tk binary, uid binary, bands array<long>, sketch binary"), "marked")
     # One row per shingle set; its text is found again by the smallest id and the digest of that row.
-    sets = marked.where("uid is not null").groupBy("uid").agg(F.count("*").alias("members"), F.min(F.struct("doc_id", "tk")).alias("r"), F.first("bands").alias("bands"))
+    sets = marked.where("uid is not null").groupBy("uid").agg(F.count("*").alias("members"), F.min(F.struct("doc_id", "tk")).alias("r"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
     # Sets are numbered once, in the written table: numbers are unique and stay.
-    sets = tables.write(sets.select(F.monotonically_increasing_id().alias("id"), "uid", "members", "r.doc_id", "r.tk", "bands"), "sets")
-    keys = sets.select("id", F.explode("bands").alias("key"))
-    buckets = keys.groupBy("key").agg(F.min("id").alias("first"), F.count("*").alias("n")).where("n > 1").select("key", "first")
-    edges = keys.join(buckets, "key").where("id <> first").select(F.col("id").alias("u"), F.col("first").alias("v"))
+    sets = tables.write(sets.select(F.monotonically_increasing_id().alias("id"), "uid", "members", "r.doc_id", "r.tk", "bands", "sketch"), "sets")
+    edges = _candidates(sets, tables, rows * bands, bands, share[0] / share[1])
     groups = tables.write(components(edges, tables, "candidate-edges").withColumnRenamed("node", "id"), "candidate-groups")
-    tables.drop("candidate-edges")
+    tables.drop("candidate-edges", "held")
     near = sets.select("id", "members", F.col("doc_id").alias("_d"), F.col("tk").alias("_t")).join(groups, "id")
     near = tables.write(near, "near")
     few = near.count() <= BROADCAST_ROWS
     texts = keyed.join(F.broadcast(near) if few else near, (F.col("tk") == F.col("_t")) & F.col("doc_id").eqNullSafe(F.col("_d"))).select("id", "root", "members", "text")
     full = tables.write(texts.mapInArrow(_sets, "id long, root long, members long, sh array<long>").dropDuplicates(["id"]), "full")
-    size = full.groupBy("root").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum(F.size("sh")) / BLOCK_SHINGLES)).cast("int").alias("blocks"))
-    placed = full.join(size, "root").withColumn("b", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    size = full.groupBy("root").agg(F.count("*").alias("n"), F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum(F.size("sh")) / BLOCK_SHINGLES)).cast("int").alias("blocks"))
+    placed = join_counted(full, size, "root", "n", full.count()).withColumn("b", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     pair = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least("b", o).alias("p"), F.greatest("b", o).alias("q")))
     dealt = placed.select("root", "b", "id", "members", "sh", F.explode(pair).alias("pq")).select("root", "pq.p", "pq.q", "b", "id", "members", "sh")
-    found = dealt.repartition("root", "p", "q").sortWithinPartitions("root", "p", "q").mapInArrow(_compared, _FOUND)
+    found = dealt.repartition("root", "p", "q").sortWithinPartitions("root", "p", "q").mapInArrow(_comparing(share), _FOUND)
     found = tables.write(found, "found")
     tables.drop("full", "near", "candidate-groups")
     links = found.where("other is null").groupBy("id").agg(F.sum("links").alias("links"))
     classes = components(found.where("other is not null").select(F.col("id").alias("u"), F.col("other").alias("v")), tables, "link-edges")
     # Only sets with a link or with copies can share a class.
-    more = classes.withColumnRenamed("node", "id").join(links, "id", "left")
-    named = sets.select("id", "uid", "members", F.struct("doc_id", "tk").alias("own")).join(_sized(tables.write(more, "classes")), "id", "left").where("root is not null or members > 1")
-    named = named.withColumn("root", F.coalesce("root", "id"))
-    names = named.groupBy("root").agg(F.min("own").alias("r"), F.sum("members").alias("class_size")).where("class_size > 1")
-    linked = named.join(names, "root").select("uid", "r", F.col("r.doc_id").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("members") - 1).alias("n_links"))
+    more = tables.write(classes.withColumnRenamed("node", "id").join(links, "id", "left"), "classes")
+    tables.drop("link-edges", "found")
+    named = sets.select("id", "uid", "members", F.struct("doc_id", "tk").alias("own")).join(_sized(more), "id", "left").where("root is not null or members > 1")
+    named = tables.write(named.withColumn("root", F.coalesce("root", "id")), "named")
+    names = named.groupBy("root").agg(F.count("*").alias("n"), F.min("own").alias("r"), F.sum("members").alias("class_size")).where("class_size > 1")
+    linked = join_counted(named, names, "root", "n", named.count()).select("uid", "members", "r", F.col("r.doc_id").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("members") - 1).alias("n_links"))
     return marked.select("doc_id", "tk", "uid"), tables.write(linked, "linked")
 
 
@@ -284,26 +361,33 @@ def _sized(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
-def join(spark: SparkSession, docs: DataFrame, rows: int = ROWS, recall: float = RECALL) -> DataFrame:
+def join(spark: SparkSession, docs: DataFrame, rows: int = ROWS, recall: float = RECALL, share: tuple[int, int] = SHARE) -> DataFrame:
     """``doc_id, class_id, n_links`` for every row of ``docs``.
 
-    ``n_links`` is the number of other rows with a similarity of 0.8 or more, equal texts included;
+    ``n_links`` is the number of other rows with a similarity of ``share`` (a fraction) or more, equal texts included;
     ``class_id`` is the smallest doc_id that a chain of links reaches.
     """
-    marked, linked = _linked(spark, docs, scratch.Tables(spark), rows, recall)
-    out = marked.join(_sized(linked.withColumn("found", F.lit(True))), "uid", "left")
+    marked, linked = _linked(spark, docs, scratch.Tables(spark), rows, recall, share)
+    verdicts = linked.select("uid", "members", "class_id", "n_links", F.lit(True).alias("found"))
+    out = marked.join(_sized(verdicts), "uid", "left") if verdicts.count() <= BROADCAST_ROWS else join_counted(marked, verdicts, "uid", "members", marked.count(), True)
     return out.select("doc_id", F.when(F.col("found"), F.col("class_id")).otherwise(F.col("doc_id")).alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
 
 
-def keep_one(spark: SparkSession, docs: DataFrame, rows: int = ROWS, recall: float = RECALL) -> DataFrame:
+def keep_one(spark: SparkSession, docs: DataFrame, rows: int = ROWS, recall: float = RECALL, share: tuple[int, int] = SHARE) -> DataFrame:
     """``docs`` with one row of each class, that with the smallest doc_id (then digest of its text)."""
     tables = scratch.Tables(spark)
-    marked, linked = _linked(spark, docs, tables, rows, recall)
+    marked, linked = _linked(spark, docs, tables, rows, recall, share)
     heads = tables.write(linked.select("r.doc_id", F.col("r.tk").alias("_t")).distinct().withColumnRenamed("doc_id", "_d"), "heads")
-    away = tables.write(marked.join(_sized(linked.select("uid")), "uid", "left_semi").select(F.col("tk").alias("_t")).distinct(), "away")
+    few = linked.count() <= BROADCAST_ROWS
+    of_class = marked.join(F.broadcast(linked.select("uid")), "uid") if few else join_counted(marked, linked.select("uid", "members"), "uid", "members", marked.count())
+    away = tables.write(of_class.groupBy(F.col("tk").alias("_t")).agg(F.count("*").alias("_n")), "away")
     # Rows travel as one struct, so no name of theirs can clash.
-    own = docs.select(F.struct("*").alias("row"), F.unhex(F.md5(F.coalesce("text", F.lit("")))).alias("tk"))
-    alone = own.join(_sized(away), F.col("tk") == F.col("_t"), "left_anti")
-    first = own.join(_sized(heads), (F.col("tk") == F.col("_t")) & F.col("row.doc_id").cast("long").eqNullSafe(F.col("_d")), "left_semi")
-    first = first.withColumn("id", F.col("row.doc_id")).dropDuplicates(["id", "tk"]).drop("id")
-    return alone.unionByName(first).select("row.*")
+    own = docs.select(F.struct("*").alias("row"), F.unhex(F.md5(F.coalesce("text", F.lit("")))).alias("_t"))
+    if away.count() <= BROADCAST_ROWS:
+        alone, same = own.join(F.broadcast(away), "_t", "left_anti"), own.join(F.broadcast(away), "_t", "left_semi")
+    else:
+        told = join_counted(own, away, "_t", "_n", marked.count(), True)
+        alone, same = told.where("_n is null"), told.where("_n is not null").select("row", "_t")
+    first = same.withColumn("_d", F.col("row.doc_id").cast("long"))
+    first = first.join(_sized(heads.withColumnsRenamed({"_d": "_hd", "_t": "_ht"})), (F.col("_t") == F.col("_ht")) & F.col("_d").eqNullSafe(F.col("_hd")), "left_semi")
+    return alone.select("row").unionByName(first.dropDuplicates(["_d", "_t"]).select("row")).select("row.*")

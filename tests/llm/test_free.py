@@ -12,6 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from rowatlas.llm import ann, jaccard, mixing, quality, warc
+from rowatlas.llm import hot as hot_keys
 from rowatlas.llm.components import components
 from rowatlas.llm.scratch import Tables
 
@@ -63,9 +64,10 @@ def near_copies(seed=4):
     return list(enumerate(docs))
 
 
-@pytest.mark.parametrize("block", [512, 8])
-def test_jaccard_is_brute_force(spark, block, monkeypatch):
-    monkeypatch.setattr(jaccard, "BLOCK", block)
+@pytest.mark.parametrize(("block", "bucket", "broadcast", "hot"), [(512, 512, 250_000, 1000), (8, 2, 0, 1)])
+def test_jaccard_is_brute_force(spark, block, bucket, broadcast, hot, monkeypatch):
+    for module, name, value in ((jaccard, "BLOCK", block), (jaccard, "BUCKET", bucket), (jaccard, "BROADCAST_ROWS", broadcast), (hot_keys, "HOT_ROWS", hot)):
+        monkeypatch.setattr(module, name, value)
     docs = near_copies()
     df = spark.createDataFrame([(i, t, 1, 2) for i, t in docs], "doc_id long, text string, uid int, tk int")
     got = {r.doc_id: r for r in jaccard.join(spark, df).collect()}
@@ -93,6 +95,47 @@ def test_band_plan():
     assert 1 - (1 - 0.8**5) ** n >= 0.9999 > 1 - (1 - 0.8**5) ** (n - 1)
 
 
+def test_chains_of_false_candidates_are_not_compared(spark):
+    """Each document has half of its words in common with the next: many share a band, none is similar."""
+    compared = []
+    for n in (300, 600):
+        rows = [(k, " ".join(f"w{k * 50 + j}" for j in range(150))) for k in range(n)]
+        tables, bands = Tables(spark), jaccard.band_plan()
+        docs = jaccard._keyed(spark.createDataFrame(rows, "doc_id long, text string"))
+        made = docs.mapInArrow(jaccard._features(jaccard.ROWS, bands), "doc_id long, tk binary, uid binary, bands array<long>, sketch binary")
+        sets = tables.write(made.select(F.col("doc_id").alias("id"), "bands", "sketch"), "sets")
+        chained = sets.select("id", F.explode("bands").alias("key")).groupBy("key").count().where("count > 1").count()
+        groups = components(jaccard._candidates(sets, tables, jaccard.ROWS * bands, bands, 0.8), tables).groupBy("root").count().collect()
+        compared.append(sum(r["count"] ** 2 for r in groups))
+        assert chained > n / 2
+    assert compared[1] <= 2 * compared[0] + 20
+
+
+def test_sketch_floor():
+    assert jaccard.sketch_floor(120) == 69
+    rng = np.random.default_rng(3)
+    agree = rng.binomial(120, 0.8, 1_000_000)
+    assert (agree >= jaccard.sketch_floor(120)).all()
+
+
+def test_similarity_is_a_parameter(spark):
+    rows = [(1, " ".join(map(str, range(40)))), (2, " ".join(map(str, range(30)))), (3, "other words of no kin at all")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert [r.n_links for r in jaccard.join(spark, df).orderBy("doc_id").collect()] == [0, 0, 0]
+    assert [r.n_links for r in jaccard.join(spark, df, share=(7, 10)).orderBy("doc_id").collect()] == [1, 1, 0]
+
+
+@pytest.mark.parametrize("rows", [1, 1000])
+def test_joins_of_hot_keys(spark, rows, monkeypatch):
+    monkeypatch.setattr(hot_keys, "HOT_ROWS", rows)
+    left = spark.createDataFrame([(k % 7 if k % 5 else None, k) for k in range(60)], "k long, x long")
+    right = left.where("k < 5").groupBy("k").agg(F.count("*").alias("n"))
+    inner = hot_keys.join_counted(left, right, "k", "n", 60)
+    assert sorted(map(tuple, inner.select("k", "x", "n").collect())) == sorted(map(tuple, left.join(right, "k").select("k", "x", "n").collect()))
+    outer = hot_keys.join_counted(left, right, "k", "n", 60, True)
+    assert sorted(map(str, outer.select("k", "x", "n").collect())) == sorted(map(str, left.join(right, "k", "left").select("k", "x", "n").collect()))
+
+
 def test_dense_comparison_is_set_comparison():
     rng = np.random.default_rng(1)
     make = lambda n: [np.unique(rng.integers(0, 40, rng.integers(1, 30)).astype(np.uint64)) for _ in range(n)]
