@@ -10,9 +10,9 @@ Control strings inside roles and texts are broken up by a backslash after their
 first character, and backslashes are doubled; both can be undone.
 
 Defined cases: a null text or role is empty; a null turn sorts first; ties of a turn
-number are ordered by role, then text; repeated rows are turns of their own; rows
-with a null conversation id form one conversation; an empty table gives no rows;
-columns besides the four named ones are ignored.
+number are ordered by role, then text; repeated rows are turns of their own; a row
+without a conversation id belongs to no other row: it is a conversation by itself, with a null id; an empty table gives
+no rows; columns besides the four named ones are ignored.
 """
 
 from __future__ import annotations
@@ -35,17 +35,20 @@ def unescape(text: Column) -> Column:
     return F.regexp_replace(text, r"\\(\\?)", "$1")
 
 
+def _let(value: Column, body) -> Column:
+    """``body(value)`` with the value evaluated once, however often and in whatever inner lambda it is used."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def _merged(turns: Column) -> Column:
-    """Sorted turns to blocks of one role each: array of (role, texts)."""
+    """Sorted turns to blocks of one role each: array of (role, texts). A block is the slice from one change of role to the next."""
 
-    def add(blocks: Column, turn: Column) -> Column:
-        last = F.element_at(blocks, -1)
-        joined = F.struct(last["role"].alias("role"), F.concat(last["texts"], F.array(turn["text"])).alias("texts"))
-        fresh = F.struct(turn["role"].alias("role"), F.array(turn["text"]).alias("texts"))
-        same = (F.size(blocks) > 0) & (F.try_element_at(blocks, F.lit(-1))["role"] == turn["role"])
-        return F.when(same, F.concat(F.slice(blocks, 1, F.size(blocks) - 1), F.array(joined))).otherwise(F.concat(blocks, F.array(fresh)))
+    def blocks(t: Column) -> Column:
+        starts = F.filter(F.sequence(F.lit(0), F.size(t) - 1), lambda i: (i == 0) | (F.get(t, i)["role"] != F.get(t, i - 1)["role"]))
+        block = lambda s, end: F.struct(F.get(t, s)["role"].alias("role"), F.transform(F.slice(t, s + 1, end - s), lambda x: x["text"]).alias("texts"))
+        return _let(starts, lambda at: F.transform(at, lambda s, k: block(s, F.coalesce(F.get(at, k + 1), F.size(t)))))
 
-    return F.aggregate(turns, F.expr("cast(array() as array<struct<role:string,texts:array<string>>>)"), add)
+    return _let(turns, blocks)
 
 
 def _pieces(block: Column, loss_role: str) -> Column:
@@ -57,20 +60,29 @@ def _pieces(block: Column, loss_role: str) -> Column:
     return F.concat(head, texts, F.array(piece(F.lit(END + "\n"), no)))
 
 
-def _spans(pieces: Column) -> Column:
-    """Start and length, in code points, of each piece under the loss mask."""
+#: Numbers that are summed up in one go: so adding up takes time in proportion to an array's length, up to CHUNK ** 4.
+CHUNK = 64
 
-    def add(acc: Column, p: Column) -> Column:
-        n = F.length(p["s"])
-        span = F.array(F.struct(acc["at"].alias("start"), n.alias("len")))
-        return F.struct((acc["at"] + n).alias("at"), F.when(p["loss"], F.concat(acc["out"], span)).otherwise(acc["out"]).alias("out"))
 
-    zero = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<struct<start:int,len:int>>)").alias("out"))
-    return F.aggregate(pieces, zero, add, lambda acc: acc["out"])
+def _before(numbers: Column, levels: int = 4) -> Column:
+    """For each of some long numbers the sum of those before it: sums inside chunks, then of chunks."""
+    upto = lambda a: F.aggregate(a, F.array(F.lit(0).cast("long")), lambda acc, v: F.concat(acc, F.array(F.element_at(acc, -1) + v)))
+    most = lambda sums: F.slice(sums, F.lit(1), F.size(sums) - 1)
+    if levels == 1:
+        return _let(upto(numbers), most)
+    cut = _let(numbers, lambda a: F.transform(F.sequence(F.lit(0), F.floor((F.size(a) - 1) / CHUNK).cast("int")), lambda k: upto(F.slice(a, k * CHUNK + 1, F.lit(CHUNK)))))
+    return _let(cut, lambda chunks: F.flatten(F.zip_with(chunks, _before(F.transform(chunks, lambda c: F.element_at(c, -1)), levels - 1), lambda c, first: F.transform(most(c), lambda v: v + first))))
+
+
+def _spans(pieces: Column) -> Column:
+    """Start and length, in bytes of UTF-8, of each piece under the loss mask."""
+    size = lambda p: F.octet_length(p["s"]).cast("long")
+    span = lambda p, at: F.when(p["loss"], F.struct(at.alias("start"), size(p).alias("len")))
+    return _let(pieces, lambda ps: F.filter(F.zip_with(ps, _before(F.transform(ps, size)), span), lambda x: x.isNotNull()))
 
 
 def format_conversations(df: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text", loss_role: str = "assistant") -> DataFrame:
-    """One row per conversation: its id, ``formatted`` and ``loss_spans`` (array of start, len).
+    """One row per conversation: its id, ``formatted`` and ``loss_spans`` (array of start, len, in bytes of UTF-8).
 
     One shuffle, by conversation. A conversation is one string, so its turns meet in
     one row; that string is what bounds a group.
@@ -80,7 +92,8 @@ def format_conversations(df: DataFrame, conv: str = "conv_id", turn: str = "turn
         F.replace(escape(F.coalesce(F.col(role), F.lit(""))), F.lit("\n"), F.lit(NEWLINE)).alias("role"),
         escape(F.coalesce(F.col(text), F.lit(""))).alias("text"),
     )
-    collected = df.select(F.col(conv).alias("conv_id"), one.alias("t")).groupBy("conv_id").agg(F.sort_array(F.collect_list("t")).alias("turns"))
+    alone = F.when(F.col(conv).isNull(), F.monotonically_increasing_id())
+    collected = df.select(F.col(conv).alias("conv_id"), alone.alias("alone"), one.alias("t")).groupBy("conv_id", "alone").agg(F.sort_array(F.collect_list("t")).alias("turns"))
     blocks = collected.select("conv_id", _merged(F.col("turns")).alias("blocks"))
     pieces = blocks.select("conv_id", F.flatten(F.transform("blocks", lambda b: _pieces(b, loss_role))).alias("pieces"))
     return pieces.select("conv_id", F.array_join(F.transform("pieces", lambda p: p["s"]), "").alias("formatted"), _spans(F.col("pieces")).alias("loss_spans"))
@@ -102,4 +115,5 @@ def parse_formatted(formatted: Column) -> Column:
 
 def under_mask(formatted: Column, spans: Column) -> Column:
     """All text under the loss mask, unescaped, nothing between."""
-    return F.array_join(F.transform(spans, lambda s: unescape(F.substring(formatted, s["start"] + 1, s["len"]))), "")
+    part = lambda raw, s: unescape(F.substring(raw, (s["start"] + 1).cast("int"), s["len"].cast("int")).cast("string"))
+    return _let(formatted.cast("binary"), lambda raw: F.array_join(F.transform(spans, lambda s: part(raw, s)), ""))

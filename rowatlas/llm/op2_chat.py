@@ -27,12 +27,12 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 SQL = r"""
 WITH t AS (
-  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
-  UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]'
-  UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'
+  SELECT conv_id, CASE WHEN conv_id IS NULL THEN row_number() OVER () END AS alone, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, NULL, 0, 'user', '</s>[INST] ok [/INST]'
+  UNION ALL SELECT -7, NULL, 1, 'assistant', '</s>[INST] ok [/INST]'
 ), o AS (
   SELECT *, row_number() OVER w AS k, lag(role) OVER w AS before FROM t
-  WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text)
+  WINDOW w AS (PARTITION BY conv_id, alone ORDER BY turn NULLS FIRST, role, text)
 ), s AS (
   SELECT *, length(regexp_replace(regexp_replace(replace(text, '\', '\\'),
       '<(\||s>|/s>|<SYS>>|</SYS>>)', '<\\\1', 'g'), '\[(/?INST\])', '[\\\1', 'g')) AS body,
@@ -44,5 +44,5 @@ SELECT conv_id, count(*) AS n_turns,
   coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
   sha256(coalesce(string_agg(text, '' ORDER BY k) FILTER (role = 'assistant'), '')) AS loss_sha256,
   sum(body + marks)::BIGINT AS formatted_chars
-FROM s GROUP BY conv_id
+FROM s GROUP BY conv_id, alone
 """

@@ -35,10 +35,34 @@ def test_merging_ties_and_nulls(spark):
     rows = [(1, 2, "user", "c", ""), (1, 1, "user", "b", ""), (1, 1, "user", "a", ""), (1, None, "system", None, ""), (None, 0, None, "x", ""), (None, 0, None, "x", "")]
     got = shown(spark, rows)
     assert got[1].formatted == "<|im_start|>system\n<|im_end|>\n<|im_start|>user\na<|im_sep|>b<|im_sep|>c<|im_end|>\n"
-    assert [t.text for t in got[None].turns] == ["x", "x"] and got[None].loss == ""
+    assert [t.text for t in got[None].turns] == ["x"] and got[None].loss == ""
+    alone = chat.format_conversations(spark.createDataFrame(rows, TURNS)).where("conv_id is null").collect()
+    assert [r.formatted for r in alone] == ["<|im_start|>\nx<|im_end|>\n"] * 2
     assert shown(spark, []) == {}
 
 
+def test_long_conversations_take_time_in_proportion(spark):
+    import time
+
+    def spent(n):
+        rows = spark.range(n).select(F.lit(1).alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") % 3 == 0, "user").otherwise("assistant").alias("role"), F.concat(F.lit("é said "), F.col("id")).alias("text"))
+        out = chat.format_conversations(rows)
+        began = time.perf_counter()
+        got = out.select(F.size(chat.parse_formatted(F.col("formatted"))).alias("n"), F.length(chat.under_mask(F.col("formatted"), F.col("loss_spans"))).alias("loss")).first()
+        assert got.n == n and got.loss == sum(len(f"é said {k}") for k in range(n) if k % 3)
+        return time.perf_counter() - began
+
+    spent(1000)
+    one, four = spent(15_000), spent(60_000)
+    assert four < 8 * one + 1
+
+
+def test_sums_before(spark):
+    for n in (0, 1, 63, 64, 65, 5000):
+        a = spark.range(1).select(F.expr(f"transform(sequence(1, {n + 1}), x -> x * 7L)").alias("a")).select(F.slice("a", 1, n).alias("a"))
+        assert a.select(chat._before(F.col("a")).alias("s")).first().s == [7 * k * (k + 1) // 2 for k in range(n)]
+
+
 def test_no_python_in_the_plan(spark):
     df = spark.createDataFrame([(1, 0, "user", "a", "")], TURNS)
     out = chat.format_conversations(df).select(chat.parse_formatted(F.col("formatted")))
