@@ -1,8 +1,9 @@
 """Tables that cut lineage, written under the shared folder of the cluster.
 
-The folder is the one in ``spark.checkpoint.dir``. Only where that is unset (tests,
-a single machine) a local folder is used. Written tables outlive executors, so a
-lost executor never sends a query back beyond the last table.
+The folder is the one in ``spark.checkpoint.dir``. Only where that is unset and the master is local
+(tests, a single machine) a local folder is used; on a cluster that is an error. Written tables outlive
+executors, so a lost executor never sends a query back beyond the last table. Tables that a result
+still reads stay until the driver ends or ``release`` is called.
 """
 
 from __future__ import annotations
@@ -15,6 +16,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _local: str | None = None
+_known: set[str] = set()
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -23,14 +25,36 @@ def shared_folder(spark: SparkSession) -> str:
     base = spark.conf.get("spark.checkpoint.dir", None)
     if base:
         return base.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("name a folder that all executors share in spark.checkpoint.dir")
     if _local is None:
         _local = tempfile.mkdtemp(prefix="rowatlas-")
         atexit.register(shutil.rmtree, _local, ignore_errors=True)
     return _local
 
 
+def _own(spark: SparkSession) -> str:
+    return f"{shared_folder(spark)}/rowatlas/{spark.sparkContext.applicationId}"
+
+
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_folder(spark)}/rowatlas/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex[:12]}"
+    own = _own(spark)
+    if own not in _known:
+        _known.add(own)
+        atexit.register(_leave, spark, own)
+    return f"{own}/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def release(spark: SparkSession) -> None:
+    """Delete all tables of this application; results that read them are then gone."""
+    remove(spark, _own(spark))
+
+
+def _leave(spark: SparkSession, path: str) -> None:
+    try:
+        remove(spark, path)
+    except Exception:  # the JVM has gone before
+        pass
 
 
 def remove(spark: SparkSession, path: str) -> None:
