@@ -1,10 +1,12 @@
 """Zstandard WARC archives: a writer, and a reader of one frame per record.
 
 An archive starts with a skippable frame (magic 0x184D2A5D) that holds the
-dictionary; each record is one frame. The writer is Spark's own text writer, so files
-are committed by the job's output committer in any store: each frame is followed by
+dictionary; each record is one frame. An archive holds about ARCHIVE_BYTES (a larger record alone more), so a
+reader may take it whole. The writer is Spark's own text writer with one archive as the one row of a file, so files
+are committed by the job's output committer in any store: an archive ends in
 the header of a one-byte skippable frame, and the line end that the writer
-adds is that byte. The reader takes whole files through Spark's ``binaryFile``.
+adds is that byte. The reader takes whole files through Spark's ``binaryFile``; frames with and without
+a content size are read.
 
 The reader fails on: a missing or damaged dictionary frame, a frame that does not
 decode, a wrong version line, a missing or repeated mandatory header, a content or
@@ -27,6 +29,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from rowatlas.llm import scratch
+from rowatlas.llm.hot import join_counted
 from rowatlas.llm.sampling import smallest
 
 DICTIONARY_MAGIC = 0x184D2A5D
@@ -36,8 +40,10 @@ _LINE_END = struct.pack("<II", SKIPPABLE_MAGIC, 1)  # the writer's "\n" is its c
 _VERSION = b"WARC/1.1\r\n"
 _HTTP = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n"
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
-#: Pages, and bytes of each at most, from which the dictionary is trained.
+#: Pages, and first bytes of each, from which the dictionary is trained. It only makes frames smaller; records hold whole pages.
 DICTIONARY_PAGES, DICTIONARY_PAGE_BYTES, DICTIONARY_BYTES = 400, 16 << 10, 32 << 10
+#: Bytes of frames after which an archive ends.
+ARCHIVE_BYTES = 16 << 20
 #: Groups of equal payloads that are broadcast at most (about 100 bytes each); more are joined by a shuffle.
 BROADCAST_GROUPS = 200_000
 
@@ -47,8 +53,8 @@ def train_dictionary(pages: DataFrame, html: str = "html") -> bytes:
     import zstandard
 
     body = F.coalesce(F.col(html), F.lit(""))
-    fit = pages.select("page_id", body.alias("h")).where(F.octet_length("h").between(64, DICTIONARY_PAGE_BYTES))
-    texts = sorted(r.h.encode() for r in smallest(fit, F.xxhash64("page_id", "h"), DICTIONARY_PAGES).select("h").collect())
+    fit = pages.select("page_id", body.alias("h")).where(F.octet_length("h") >= 64).select("page_id", F.substring(F.col("h").cast("binary"), 1, DICTIONARY_PAGE_BYTES).alias("h"))
+    texts = sorted(bytes(r.h) for r in smallest(fit, F.xxhash64("page_id", "h"), DICTIONARY_PAGES).select("h").collect())
     if len(texts) < 20:
         return b""
     try:
@@ -57,19 +63,20 @@ def train_dictionary(pages: DataFrame, html: str = "html") -> bytes:
         return b""
 
 
-def plan_records(spark: SparkSession, pages: DataFrame, min_bytes: int = 1000) -> DataFrame:
+def plan_records(pages: DataFrame, tables: scratch.Tables, min_bytes: int = 1000) -> DataFrame:
     """``page_id, url, html, digest, refers_to``; refers_to is null for responses.
 
     Payloads are grouped by digest with map-side aggregation, so a payload that a third
     of the pages share is one row per task. Only groups of two and more are joined
-    back: by broadcast while their counted number is bounded, else by a shuffle on the digest.
+    back: by broadcast while their counted number is bounded, else by a shuffle on the digest, hot ones aside.
     """
     body = pages.select(F.col("page_id").cast("long").alias("page_id"), F.coalesce(F.col("url"), F.lit("")).alias("url"), F.coalesce(F.col("html"), F.lit("")).alias("html"))
     body = body.withColumn("digest", F.sha1("html"))
-    groups = body.where(F.octet_length("html") >= min_bytes).groupBy("digest").agg(F.count("*").alias("n"), F.max("page_id").alias("last")).where("n > 1").select(F.col("digest").alias("of"), "last").persist()
-    many = groups.count()
-    small = F.broadcast(groups) if many <= BROADCAST_GROUPS else groups
-    joined = body.join(small, (F.col("digest") == F.col("of")) & (F.octet_length("html") >= min_bytes), "left")
+    groups = body.where(F.octet_length("html") >= min_bytes).groupBy("digest").agg(F.count("*").alias("n"), F.max("page_id").alias("last")).where("n > 1")
+    groups = tables.write(groups.select(F.col("digest").alias("of"), "n", "last"), "payload-groups")
+    # Only payloads of that size look for a group.
+    body = body.withColumn("of", F.when(F.octet_length("html") >= min_bytes, F.col("digest")))
+    joined = body.join(F.broadcast(groups), "of", "left") if groups.count() <= BROADCAST_GROUPS else join_counted(body, groups, "of", "n", body.count(), True)
     refers = F.when(F.col("last").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("last")), F.col("last"))
     return joined.select("page_id", "url", "html", "digest", refers.alias("refers_to"))
 
@@ -93,27 +100,40 @@ def _record(page_id: int | None, url: str, payload: bytes, digest: str, refers_t
     return _VERSION + "\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
 
 
-def _writing(dictionary: bytes, level: int):
+def _writing(dictionary: bytes, level: int, archive_bytes: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
 
         packer = zstandard.ZstdCompressor(level=level, dict_data=zstandard.ZstdCompressionDict(dictionary) if dictionary else None, write_checksum=True)
-        started = False
+        head = struct.pack("<II", DICTIONARY_MAGIC, len(dictionary)) + dictionary
+        held, size = [head], 0
+
+        def archive() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([b"".join([*held, _LINE_END])], pa.binary())], ["value"])
+
         for whole in batches:
-            for k in range(0, whole.num_rows, 256):
-                out = [] if started else [struct.pack("<II", DICTIONARY_MAGIC, len(dictionary)) + dictionary + _LINE_END]
-                started = True
-                for r in whole.slice(k, 256).to_pylist():
-                    out.append(packer.compress(_record(r["page_id"], r["url"], r["html"].encode(), r["digest"], r["refers_to"])) + _LINE_END)
-                yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["value"])
+            for k in range(0, whole.num_rows, 64):
+                for r in whole.slice(k, 64).to_pylist():
+                    held.append(packer.compress(_record(r["page_id"], r["url"], r["html"].encode(), r["digest"], r["refers_to"])))
+                    size += len(held[-1])
+                    if size >= archive_bytes:
+                        yield archive()
+                        held, size = [head], 0
+        if size:
+            yield archive()
 
     return run
 
 
-def write_archives(spark: SparkSession, pages: DataFrame, path: str, min_bytes: int = 1000, level: int = 6) -> None:
-    """Write a record for every page: one archive per partition."""
-    frames = plan_records(spark, pages, min_bytes).mapInArrow(_writing(train_dictionary(pages), level), "value binary")
-    frames.select(F.col("value").cast("string")).write.option("lineSep", "\n").option("compression", "none").text(path)
+def write_archives(spark: SparkSession, pages: DataFrame, path: str, min_bytes: int = 1000, level: int = 6, archive_bytes: int = ARCHIVE_BYTES) -> None:
+    """Write a record for every page, in archives of about ``archive_bytes``.
+
+    The bytes pass through the text writer as a string that is never looked into.
+    """
+    tables = scratch.Tables(spark)
+    archives = plan_records(pages, tables, min_bytes).mapInArrow(_writing(train_dictionary(pages), level, archive_bytes), "value binary")
+    archives.select(F.col("value").cast("string")).write.option("lineSep", "\n").option("compression", "none").option("maxRecordsPerFile", 1).text(path)
+    tables.drop("payload-groups")
 
 
 def _frame_end(data: memoryview, at: int) -> int:
@@ -161,7 +181,7 @@ def frames(data: bytes) -> Iterator[bytes]:
             if unpacker is None:
                 raise ValueError("the archive does not start with a dictionary frame")
             end = _frame_end(view, at)
-            yield unpacker.decompress(view[at:end])
+            yield unpacker.decompressobj().decompress(view[at:end])
             at = end
         else:
             raise ValueError(f"unknown frame magic {magic:#x}")
