@@ -6,8 +6,8 @@ numpy walks for all rows of a batch at once. The model is a few thousand numbers
 is one pass without a shuffle.
 
 Defined cases: null and empty texts have the statistics 0 and get a score like any
-other; labels with a null id or mark are not learned from; repeated labels count as
-often as they stand; without labels of both kinds every score is the share of good ones (0.5
+other; labels with a null id or mark are not learned from; a label, or a document, that is repeated
+counts once, a document with the text of the smallest digest; without labels of both kinds every score is the share of good ones (0.5
 without any); a null doc_id is not held out; empty tables give no rows; other
 columns are ignored.
 """
@@ -156,10 +156,12 @@ def _counted(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def train(spark: SparkSession, docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Trees:
     """Trees from the labelled documents that are not held out."""
-    marks = labels.select(F.col("doc_id").cast("long").alias("k"), F.col("quality").cast("int").alias("quality")).where("k is not null and quality is not null")
+    marks = labels.select(F.col("doc_id").cast("long").alias("k"), F.col("quality").cast("int").alias("quality")).where("k is not null and quality is not null").distinct()
     sample = smallest(marks.where(~held_out(F.col("k"))), F.xxhash64("k"), sample_rows)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(sample), F.col("doc_id") == F.col("k"))
-    rows = texts.select("k", "quality", "text").mapInArrow(_counted, "k long, quality int, x array<double>").toArrow()
+    # Of rows that repeat a labelled id, that with the smallest digest is learned from: what is gathered is bounded by the sample.
+    texts = texts.groupBy("k", "quality").agg(F.min(F.struct(F.md5(F.coalesce("text", F.lit(""))).alias("d"), "text")).alias("t"))
+    rows = texts.select("k", "quality", "t.text").mapInArrow(_counted, "k long, quality int, x array<double>").toArrow()
     order = np.argsort(rows.column("k").to_numpy(), kind="stable")
     x = np.array(rows.column("x").to_pylist(), float).reshape(-1, len(STATISTICS))[order]
     y = rows.column("quality").to_numpy()[order].astype(float)

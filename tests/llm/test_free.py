@@ -153,7 +153,7 @@ def test_components(spark):
     assert got == {**dict.fromkeys(range(61), 0), 100: 100, 200: 100, 150: 100, 300: 300, 301: 300, 302: 300}
 
 
-def test_warc_round_trip(spark, tmp_path):
+def test_warc_round_trip(spark, tmp_path, monkeypatch):
     big = "<p>" + "x" * 1200 + "</p>"
     rows = [(k, f"http://h/{k % 5}\r\nX: y", rng_text(k)) for k in range(60)] + [(70, "u", big), (71, None, big), (72, "u", big), (73, "u", None), (74, "u", ""), (75, "u", "small"), (76, "u", "small"), (None, "u", "é😀")]
     df = spark.createDataFrame([(*r, 0) for r in rows], "page_id long, url string, html string, digest int")
@@ -174,6 +174,36 @@ def test_warc_round_trip(spark, tmp_path):
         assert got[i].payload is None if other is not None else bytes(got[i].payload) == raw
     warc.write_archives(spark, df.limit(0), str(tmp_path / "e"))
     assert warc.read_archives(spark, str(tmp_path / "e")).count() == 0
+    monkeypatch.setattr(warc, "BROADCAST_GROUPS", 0)
+    monkeypatch.setattr(hot_keys, "HOT_ROWS", 2)
+    spark.conf.set("spark.sql.files.maxRecordsPerFile", "20")
+    try:
+        warc.write_archives(spark, df, str(tmp_path / "s"), archive_bytes=2000)
+    finally:
+        spark.conf.unset("spark.sql.files.maxRecordsPerFile")
+    small = warc.read_archives(spark, str(tmp_path / "s"))
+    assert sorted(map(str, small.collect())) == sorted(map(str, got.values()))
+    sizes = [f.stat().st_size for f in (tmp_path / "s").glob("*.txt")]
+    assert len(sizes) > 5
+
+
+def test_warc_largest_page_repeated_and_long_pages(spark, tmp_path):
+    big, long = "b" * 1500, "".join(f"<p>{k}</p>" for k in range(400_000))
+    rows = [(1, "u", big), (9, "u", big), (9, "v", big), (None, "u", big), (3, "u", long), (4, "u", long)]
+    warc.write_archives(spark, spark.createDataFrame(rows, "page_id long, url string, html string"), str(tmp_path / "w"))
+    got = warc.read_archives(spark, str(tmp_path / "w")).select("page_id", "record_type", "refers_to", "payload_bytes").collect()
+    want = [(1, "revisit", 9, 1500), (9, "response", None, 1500), (9, "response", None, 1500), (None, "revisit", 9, 1500), (3, "revisit", 4, len(long)), (4, "response", None, len(long))]
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, want))
+
+
+def test_warc_frames_without_a_size():
+    import zstandard
+
+    page = warc._record(5, "u", b"<p>x</p>" * 90, hashlib.sha1(b"<p>x</p>" * 90).hexdigest(), None)
+    streamed = zstandard.ZstdCompressor(write_content_size=False).compressobj()
+    data = struct.pack("<II", warc.DICTIONARY_MAGIC, 0) + streamed.compress(page) + streamed.flush()
+    (record,) = map(warc.parse_record, warc.frames(data))
+    assert record["payload"] == b"<p>x</p>" * 90
 
 
 def rng_text(k):
@@ -291,6 +321,65 @@ def test_flat_trees_are_the_grown_trees():
     y = ((x[:, 0] > 0) ^ (x[:, 1] > 0.3)).astype(float)
     t = quality.fit(x, y)
     assert ((t.score(x) >= 0.5) == y).mean() > 0.98
+    x = np.concatenate([x[:300], rng.normal(scale=9, size=(100, 18))])
+    for row, score in zip(x, t.score(x), strict=True):  # one row and one node at a time
+        total = t.base
+        for at in t.roots.tolist():
+            while t.left[at] != at:
+                at = t.left[at] if row[t.feature[at]] <= t.cut[at] else t.right[at]
+            total += t.value[at]
+        assert abs(score - 1 / (1 + np.exp(-total))) < 1e-12
+
+
+def slow_fit(x, y, trees, depth):
+    """Boosting from the definition: every split of every statistic at every cut, gains from plain sums."""
+    cuts = [np.unique(np.quantile(x[:, f], np.linspace(0, 1, quality.BINS + 1)[1:-1])) for f in range(x.shape[1])]
+    out = np.full(len(y), np.log(y.sum() / (len(y) - y.sum())))
+    for _ in range(trees):
+        p = 1 / (1 + np.exp(-out))
+        g, h = y - p, p * (1 - p)
+
+        def grow(rows, left):
+            best = (1e-6, None)
+            gain = lambda r: g[r].sum() ** 2 / (h[r].sum() + quality.RIDGE)
+            for f, cs in enumerate(cuts if left else []):
+                for c in cs:
+                    a, b = rows[x[rows, f] <= c], rows[x[rows, f] > c]
+                    if min(h[a].sum(), h[b].sum()) >= quality.LEAST_WEIGHT and (won := gain(a) + gain(b) - gain(rows)) > best[0] + 1e-9:
+                        best = (won, (a, b))
+            if best[1] is None:
+                out[rows] += quality.RATE * g[rows].sum() / (h[rows].sum() + quality.RIDGE)
+            else:
+                for part in best[1]:
+                    grow(part, left - 1)
+
+        grow(np.arange(len(y)), depth)
+    return 1 / (1 + np.exp(-out))
+
+
+def test_trees_are_grown_by_their_definition(monkeypatch):
+    monkeypatch.setattr(quality, "TREES", 3)
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(200, 4))
+    y = (x[:, 0] + x[:, 1] * x[:, 2] + rng.normal(scale=0.3, size=200) > 0).astype(float)
+    assert np.abs(quality.fit(x, y).score(x) - slow_fit(x, y, 3, quality.DEPTH)).max() < 1e-9
+
+
+def test_quality_of_repeated_ids_and_long_texts(spark):
+    docs = [(k, "word " * (k + 1)) for k in range(40)] + [(1, "again")] * 30 + [(2, "x" * 300_000 + " y" * 100_000)]
+    marks = [(k, k % 2) for k in range(40)] + [(1, 1)] * 5
+    d, m = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(marks, "doc_id long, quality int")
+    once = [t for k, t in enumerate(docs[:40])]
+    trees = quality.train(spark, d, m)
+    assert np.array_equal(trees.value, quality.train(spark, d.repartition(3).union(d.where("doc_id = 1")), m.distinct()).value)
+    assert quality.score(d, trees).count() == len(docs) and len(once) == 40
+
+
+def test_quality_on_the_held_out_rows_of_the_table(spark):
+    docs, marks = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    out = quality.score(docs, quality.train(spark, docs, marks)).join(marks, "doc_id").where(quality.held_out(F.col("doc_id"))).select("score", "quality").collect()
+    right = np.mean([(r.score >= 0.5) == bool(r.quality) for r in out])
+    assert len(out) > 50 and right >= 0.95 and right > np.mean([r.quality for r in out])
 
 
 def brute(rows, k=5):
