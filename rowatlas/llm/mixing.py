@@ -13,7 +13,7 @@ Draws are hashes of ids and a seed: reruns agree, however tasks are dealt.
 
 Defined cases: null texts and texts of white space have size 0 and are taken 0 words;
 a null source is a source, last in order; documents with a null or repeated id take
-part as rows of their own; an empty table gives an empty result; if all sizes are 0
+part as rows of their own, and rows alike in id, text and source get the same copies, give or take one; an empty table gives an empty result; if all sizes are 0
 all targets are 0; other columns are kept by ``with_copies`` only as asked.
 """
 
@@ -25,14 +25,17 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from rowatlas.llm import scratch
+from rowatlas.llm.hot import join_counted
 
 WEIGHTS = (5, 2, 1)
 MOST = 3
 #: Documents of a leaf of the tree, and its fan-in.
 LEAF = 4096
-#: Rows of verdicts that are broadcast at most (about 30 bytes each); more are joined by a shuffle.
-BROADCAST_ROWS = 1_000_000
-_ROWS = "doc_id long, tie long, src long, size long, whole int, frac double, copies int"
+#: Rows of verdicts that are broadcast at most (about 40 bytes each); more are joined by a shuffle.
+BROADCAST_ROWS = 500_000
+_ROWS = "doc_id long, tie long, src long, size long, alike long, whole long, frac double, copies long"
+#: Sources (about 60 bytes each) whose targets are broadcast at most, and alike rows that one task lays out.
+BROADCAST_SOURCES, LAID_OUT = 100_000, 100_000
 
 
 def words(text: Column) -> Column:
@@ -45,7 +48,7 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MO
 
     Sharing the excess of capped sources by weight until none is above its cap has
     a closed form: order sources by cap over weight; a prefix is capped and the rest
-    get ``level * weight``. The windows see one row per source.
+    get ``level * weight``. The windows run in one task over one row per source.
     """
     by = sizes.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n"))
     place = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1
@@ -105,27 +108,31 @@ def _round_group(level: int, seed: int):
         if left >= 0:
             settled[left] = False
         df["frac"] = p
-        df["copies"] = pd.array(np.where(settled, df["whole"] + np.rint(p), 0).astype("int32"), dtype="Int32")
+        df["copies"] = pd.array(np.where(settled, df["whole"] + np.rint(p), 0).astype("int64"), dtype="Int64")
         df.loc[~settled, "copies"] = pd.NA
-        return df[["doc_id", "tie", "src", "size", "whole", "frac", "copies"]]
+        return df[["doc_id", "tie", "src", "size", "alike", "whole", "frac", "copies"]]
 
     return run
 
 
-def mix(spark: SparkSession, docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, seed: int = 11) -> DataFrame:
-    """``doc_id, tie, size, source_size, target, copies`` for every row of ``docs`` (doc_id, text, source).
+def _tie(seed: int, source: str = "source") -> Column:
+    """A hash of a row's id, text and source: alike rows have the same."""
+    return F.xxhash64(F.lit(seed), F.col("doc_id").cast("long"), "text", F.coalesce(F.concat(F.lit("="), F.col(source)), F.lit("")))
 
-    ``tie`` is a hash of the row's id and text. Groups of a source are dealt by that
-    hash, so a source with a third of all rows has a third of all groups.
-    """
+
+def _rounded(spark: SparkSession, docs: DataFrame, weights: tuple[int, ...], most: int, seed: int) -> DataFrame:
+    """``doc_id, tie, src, size, alike, copies, source_size, target``: one row for all rows that are alike, with their number and the copies they get together."""
     tables = scratch.Tables(spark)
-    sized = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.lit(seed), F.col("doc_id").cast("long"), "text").alias("tie"), "source", words(F.col("text")).alias("size"))
-    sized = tables.write(sized, "mix-sizes")
-    wanted = tables.write(targets(sized, weights, most), "mix-targets")
+    sized = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _tie(seed).alias("tie"), "source", words(F.col("text")).alias("size"))
+    sized = tables.write(sized.groupBy("doc_id", "tie", "source", "size").agg(F.count("*").alias("alike")), "mix-sizes")
+    wanted = targets(sized.select("source", (F.col("size") * F.col("alike")).alias("size")), weights, most)
+    named = F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit(""))  # a null source is a source, too
+    wanted = tables.write(wanted.select(named.alias("name"), "src", "n", "source_size", "target"), "mix-targets")
     ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))  # of a source without words, nothing
-    whole = F.least(F.floor(ratio + 1e-12), F.lit(most)).cast("int")
-    frac = F.when(F.col("size") > 0, F.greatest(ratio - whole, F.lit(0.0))).otherwise(F.lit(0.0))
-    rows = sized.join(wanted, sized["source"].eqNullSafe(wanted["source"])).select("doc_id", "tie", "src", "size", whole.alias("whole"), frac.alias("frac"), "n")
+    share = ratio * F.col("alike")
+    whole = F.least(F.floor(share + 1e-12), most * F.col("alike")).cast("long")
+    frac = F.when(F.col("size") > 0, F.greatest(share - whole, F.lit(0.0))).otherwise(F.lit(0.0))
+    rows = _of_source(sized.withColumn("name", named), wanted, "name").select("doc_id", "tie", "src", "size", "alike", whole.alias("whole"), frac.alias("frac"), "n")
     leaves = F.pmod(F.col("tie"), F.greatest(F.ceil(F.col("n") / LEAF), F.lit(1)))
     most_rows = wanted.agg(F.max("n")).first()[0] or 0
     level, done = 0, []
@@ -140,25 +147,52 @@ def mix(spark: SparkSession, docs: DataFrame, weights: tuple[int, ...] = WEIGHTS
     out = out.withColumn("copies", F.coalesce("copies", F.col("whole") + (F.col("frac") >= 0.5).cast("int")))
     for part in done:
         out = out.unionByName(part)
-    return out.join(wanted.select("src", "source_size", "target"), "src").select("doc_id", "tie", "size", "source_size", "target", "copies")
+    return _of_source(out, wanted.drop("name"), "src").select("doc_id", "tie", "src", "size", "alike", "copies", "source_size", "target")
+
+
+def _of_source(rows: DataFrame, wanted: DataFrame, key: str) -> DataFrame:
+    """Rows with what is known of their source, whose name or number may be that of most rows."""
+    return rows.join(F.broadcast(wanted), key) if wanted.count() <= BROADCAST_SOURCES else join_counted(rows, wanted, key, "n", rows.count())
+
+
+def _each(rows: DataFrame) -> DataFrame:
+    """``copies`` of each of the rows that are alike: they differ by one at most. Very many alike rows are laid out by many tasks."""
+    cut = rows.withColumn("_k", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("alike") - 1) / LAID_OUT))))
+    if rows.where(F.col("alike") > LAID_OUT).take(1):
+        cut = cut.repartition("doc_id", "tie", "_k")
+    first = F.col("_k") * LAID_OUT
+    cut = cut.withColumn("_k", F.explode(F.sequence(first, F.least(first + LAID_OUT, F.col("alike")) - 1)))
+    return cut.withColumn("copies", (F.floor(F.col("copies") / F.col("alike")) + (F.col("_k") < F.col("copies") % F.col("alike")).cast("int")).cast("int"))
+
+
+def mix(spark: SparkSession, docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, seed: int = 11) -> DataFrame:
+    """``doc_id, tie, size, source_size, target, copies`` for every row of ``docs`` (doc_id, text, source).
+
+    ``tie`` is a hash of the row's id, text and source. Rows alike in these are one participant with as many expected
+    copies as all of them, so no group of the tree grows with repeats. Groups of a source are dealt by that
+    hash, so a source with a third of all rows has a third of all groups.
+    """
+    return _each(_rounded(spark, docs, weights, most, seed)).select("doc_id", "tie", "size", "source_size", "target", "copies")
 
 
 def with_copies(spark: SparkSession, docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, seed: int = 11) -> DataFrame:
     """The rows of ``docs`` as often as the mix takes them, with all their columns.
 
-    Rows alike in id and text share their copies; what does not divide evenly goes to one of them.
+    Rows alike in id, text and source share their copies; what does not divide evenly goes to one of them.
     """
     tables = scratch.Tables(spark)
-    taken = mix(spark, docs, weights, most, seed).groupBy("doc_id", "tie").agg(F.sum("copies").alias("total"), F.count("*").alias("alike"))
-    taken = taken.where("total > 0").select(F.col("doc_id").alias("_d"), F.col("tie").alias("_t"), F.floor(F.col("total") / F.col("alike")).cast("int").alias("_each"), (F.col("total") % F.col("alike")).cast("int").alias("_more"))
+    taken = _rounded(spark, docs, weights, most, seed).where("copies > 0")
+    taken = taken.select(F.col("doc_id").alias("_d"), F.col("tie").alias("_t"), "alike", F.floor(F.col("copies") / F.col("alike")).cast("int").alias("_each"), (F.col("copies") % F.col("alike")).cast("int").alias("_more"))
     taken = tables.write(taken, "mix-copies")
     few = taken.count() <= BROADCAST_ROWS
     # Rows travel as one struct, so no name of theirs can clash.
-    own = docs.select(F.struct("*").alias("row"), F.xxhash64(F.lit(seed), F.col("doc_id").cast("long"), "text").alias("tie"))
+    own = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("_own"), _tie(seed).alias("_t"))
 
     def repeated(verdict: DataFrame, times: str, once: bool) -> DataFrame:
-        rows = own.join(F.broadcast(verdict) if few else verdict, (F.col("tie") == F.col("_t")) & F.col("row.doc_id").cast("long").eqNullSafe(F.col("_d")))
-        rows = rows.dropDuplicates(["_d", "_t"]) if once else rows
+        # The hash covers the id; ids are compared, too.
+        rows = own.join(F.broadcast(verdict), "_t") if few else join_counted(own, verdict, "_t", "alike", verdict.agg(F.coalesce(F.sum("alike"), F.lit(0))).first()[0])
+        rows = rows.where(F.col("_own").eqNullSafe(F.col("_d")))
+        rows = rows.dropDuplicates(["_own", "_t"]) if once else rows
         return rows.select("row", F.explode(F.array_repeat(F.lit(0), F.col(times))).alias("k")).select("row.*")
 
     out = repeated(taken.where("_each > 0"), "_each", False)

@@ -252,8 +252,9 @@ def expected_targets(size):
         capped |= more
 
 
-def test_mix_meets_targets(spark, monkeypatch):
-    monkeypatch.setattr(mixing, "LEAF", 32)
+@pytest.mark.parametrize("beyond", [False, True])
+def test_mix_meets_targets(spark, monkeypatch, beyond):
+    monkeypatch.setattr(mixing, "LEAF", 8 if beyond else 32)
     rng = random.Random(6)
     rows = [(k, " ".join("w" * rng.randrange(1, 5) for _ in range(rng.randrange(1, 60))), rng.choice(["é", "a", "B", "z", None, "tiny"] if k < 40 else ["a", "z", None, "B"])) for k in range(900)]
     rows += [(5000, None, "a"), (5001, " \t", "a"), (5002, "x", "zero"), (7000, "twice same", "a"), (7000, "twice same", "a"), (None, "no id", "z")]
@@ -276,6 +277,45 @@ def test_mix_meets_targets(spark, monkeypatch):
     full = mixing.with_copies(spark, df)
     copies = sum(r.copies for r in got)
     assert full.columns == df.columns and full.count() == copies
+    if beyond:
+        return
+    rows = sorted(map(str, full.collect()))
+    monkeypatch.setattr(mixing, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(mixing, "BROADCAST_SOURCES", 0)
+    monkeypatch.setattr(hot_keys, "HOT_ROWS", 100)
+    assert sorted(map(str, mixing.with_copies(spark, df).collect())) == rows
+
+
+def test_mix_of_many_alike_rows(spark, monkeypatch):
+    """Rows alike in all are one participant: no group of the tree is larger than its leaf."""
+    seen = []
+    inner = mixing._round_group
+
+    def watched(level, seed):
+        run = inner(level, seed)
+
+        def size(df):
+            assert len(df) < 1000, "a leaf with all alike rows"
+            return run(df)
+
+        return size
+
+    monkeypatch.setattr(mixing, "_round_group", watched)
+    monkeypatch.setattr(mixing, "LAID_OUT", 500)
+    rows = [(None, "the same text", "a")] * 5000 + [(None, None, "a")] * 200 + [(k, f"one of many {k} " * (k % 5 + 1), "b") for k in range(300)] + [(None, "the same text", "b")] * 100
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = mixing.mix(spark, df).collect()
+    assert len(got) == len(rows) and not seen
+    alike = [r.copies for r in got if r.doc_id is None and r["size"] == 3 and r.source_size > 10_000]
+    assert len(alike) == 5000 and max(alike) - min(alike) <= 1
+    assert abs(sum(alike) * 3 - next(r.target for r in got if r.source_size > 10_000)) <= 3
+    assert mixing.with_copies(spark, df).count() == sum(r.copies for r in got)
+
+
+def test_mix_of_long_texts(spark):
+    rows = [(k, "word " * (300_000 if k == 3 else 20), "ab"[k % 2]) for k in range(8)]
+    got = {r.doc_id: r for r in mixing.mix(spark, spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
+    assert got[3]["size"] == 300_000 and all(r.copies <= 3 for r in got.values())
 
 
 def test_mix_of_nothing(spark):
