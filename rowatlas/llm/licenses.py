@@ -100,7 +100,8 @@ def scan(spark: SparkSession, docs: DataFrame, known: DataFrame | None = None) -
     ``at_word`` is the word at which the best window starts.
     """
     tables = scratch.Tables(spark)
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    # Rows are told apart by id and digest of the text: a null or repeated id gathers nothing.
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.unhex(F.md5(F.coalesce("text", F.lit("")))).alias("tk"), "text")
     ready = tables.write(_prepared(known if known is not None else templates(spark), tables), "templates")
     giving = F.transform(F.sequence(F.lit(1), F.col("bands")), lambda j: F.array_min(F.transform("hs", lambda h: F.struct(F.xxhash64(h, j).alias("v"), h.alias("h")))))
     bands = tables.write(ready.select("license", "up", "stride", "bands", F.posexplode(giving).alias("j", "m")).select("license", "up", "stride", "bands", "j", "m.v", "m.h"), "template-bands")
@@ -110,19 +111,19 @@ def scan(spark: SparkSession, docs: DataFrame, known: DataFrame | None = None) -
 
     def places(part: DataFrame) -> DataFrame:
         probe = part.select("h", "up", "stride", "bands").distinct()
-        hit = S.streamed(docs, words, "doc_id").join(F.broadcast(probe), "h")
+        hit = S.streamed(docs, words, "doc_id", "tk").join(F.broadcast(probe), "h")
         k = F.floor(F.col("at") / F.col("stride")).cast("int")
-        return hit.select("doc_id", F.explode(F.array(k, k - 1)).alias("k"), "up", "stride", "bands").where("k >= 0")
+        return hit.select("doc_id", "tk", F.explode(F.array(k, k - 1)).alias("k"), "up", "stride", "bands").where("k >= 0")
 
-    windows = reduce(DataFrame.unionByName, map(places, parts)).groupBy("doc_id").agg(F.collect_set(F.struct("up", "stride", "bands", "k")).alias("ws"))
-    windows = tables.write(windows.withColumnRenamed("doc_id", "_d"), "windows")
+    windows = reduce(DataFrame.unionByName, map(places, parts)).groupBy("doc_id", "tk").agg(F.collect_set(F.struct("up", "stride", "bands", "k")).alias("ws"))
+    windows = tables.write(windows.withColumnsRenamed({"doc_id": "_d", "tk": "_t"}), "windows")
     few = windows.agg(F.coalesce(F.sum(F.size("ws")), F.lit(0))).first()[0] <= BROADCAST_ROWS
-    near = docs.join(F.broadcast(windows) if few else windows, F.col("doc_id").eqNullSafe(F.col("_d"))).select("doc_id", words.alias("w"), "ws")
-    near = near.select("doc_id", "w", F.explode("ws").alias("c")).select("doc_id", "c.*", F.slice("w", F.col("c.k") * F.col("c.stride") + 1, 2 * F.col("c.stride") + S.WORDS - 1).alias("w"))
-    signed = near.where(F.size("w") >= S.WORDS).withColumn("hs", S.hashes(F.col("w"))).select("doc_id", "k", "up", "w", F.posexplode(_signed(F.col("hs"), F.col("bands"))).alias("j", "v"))
+    near = docs.join(F.broadcast(windows) if few else windows, (F.col("tk") == F.col("_t")) & F.col("doc_id").eqNullSafe(F.col("_d"))).select("doc_id", "tk", words.alias("w"), "ws")
+    near = near.select("doc_id", "tk", "w", F.explode("ws").alias("c")).select("doc_id", "tk", "c.*", F.slice("w", F.col("c.k") * F.col("c.stride") + 1, 2 * F.col("c.stride") + S.WORDS - 1).alias("w"))
+    signed = near.where(F.size("w") >= S.WORDS).withColumn("hs", S.hashes(F.col("w"))).select("doc_id", "tk", "k", "up", "w", F.posexplode(_signed(F.col("hs"), F.col("bands"))).alias("j", "v"))
     held = bands.select("up", "j", "v", "license").distinct()
     found = signed.join(F.broadcast(held) if n <= BROADCAST_ROWS else held, ["up", "j", "v"])
-    found = found.groupBy("doc_id", "k", "up", "license").agg(F.first("w").alias("w"))
+    found = found.groupBy("doc_id", "tk", "k", "up", "license").agg(F.first("w").alias("w"))
     own = ready.select("license", "up", "stride", "n", "shingles")
     pairs = found.join(F.broadcast(own) if n <= BROADCAST_ROWS else own, ["license", "up"])
     checked = pairs.select("doc_id", "license", F.col("n").alias("n_template"), F.size(F.array_intersect("shingles", S.texts(F.col("w")))).cast("long").alias("n_shared"), (F.col("k") * F.col("stride")).cast("long").alias("at"))
