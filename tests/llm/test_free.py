@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from rowatlas.llm import ann, jaccard, mixing, quality, warc
 from rowatlas.llm import hot as hot_keys
+from rowatlas.llm import op8_nearest
 from rowatlas.llm.components import components
 from rowatlas.llm.scratch import Tables
 
@@ -471,5 +472,51 @@ def test_nearest_recall_among_near_copies(spark, noise):
 def test_nearest_of_few(spark):
     kind = "id long, v array<float>"
     assert ann.search(spark, spark.createDataFrame([], kind), F.col("id") % 50 == 0).count() == 0
-    few = spark.createDataFrame([(0, [1.0, 0.0]), (1, [1.0, 1.0]), (2, [-1.0, 0.0]), (0, [1.0, 0.0])], kind)
-    assert [(r.query_id, r.rank, r.vec_id) for r in ann.search(spark, few, F.col("id") % 50 == 0).orderBy("rank").collect()] == [(0, 1, 1), (0, 2, 2)]
+    few = spark.createDataFrame([(0, [1.0, 0.0], 1, 2), (1, [1.0, 1.0], 1, 2), (2, [-1.0, 0.0], 1, 2), (0, [0.0, 1.0], 1, 2)], kind + ", row int, cell int")
+    got = sorted((r.query_id, r.rank, r.vec_id) for r in ann.search(spark, few, F.col("id") % 50 == 0).collect())
+    assert got == [(0, 1, 1), (0, 1, 1), (0, 2, 0), (0, 2, 0), (0, 3, 2), (0, 3, 2)]
+
+
+def test_nearest_of_one_repeated_id(spark, monkeypatch):
+    """A repeated id is cut into chunks as other ids are, and each of its rows is a query and a candidate."""
+    monkeypatch.setattr(ann, "CHUNK", 64)
+    rng = np.random.default_rng(4)
+    rows = [(50, v.tolist()) for v in rng.normal(size=(700, 8))]
+    got = ann.search(spark, spark.createDataFrame(rows, "id long, v array<double>"), F.col("id") % 50 == 0).collect()
+    x = np.array([v for _, v in rows])
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    cos = x @ x.T
+    np.fill_diagonal(cos, -2)
+    want = np.sort(np.sort(-cos, axis=1)[:, :5].ravel())
+    assert len(got) == 3500 and {r.vec_id for r in got} == {50}
+    assert np.mean(np.abs(np.sort([-r.score for r in got]) - want) < 0.02) > 0.9
+
+
+def test_nearest_recall_on_the_table(spark):
+    rows = [(r.vec_id, r.embedding) for r in spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").collect()]
+    x = np.array([v for _, v in rows], float)
+    ids = np.array([i for i, _ in rows])
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    got = defaultdict(set)
+    for r in op8_nearest.run(spark, "/root/testdata/sf0.1").collect():
+        got[r.query_id].add(r.vec_id)
+    asked = np.flatnonzero(ids % 50 == 0)
+    cos = unit[asked] @ unit.T
+    cos[np.arange(len(asked)), asked] = -2
+    hit = [len(got[q] & set(ids[np.argsort(-c, kind="stable")[:5]].tolist())) / 5 for q, c in zip(ids[asked].tolist(), cos, strict=True)]
+    assert len(got) == len(asked) and np.mean(hit) >= 0.9
+
+
+def test_few_cells_are_visited_where_there_are_clusters():
+    rng = np.random.default_rng(7)
+    for spread, most in ((0.05, 0.2), (5.0, 1.0)):
+        x = ann._unit(np.repeat(rng.normal(size=(100, 16)), 60, axis=0) + spread * rng.normal(size=(6000, 16)))
+        index = ann.fit(x, 100)
+        assert ann.probes_for(index, x, 5) <= most * 100
+    assert ann.probes_for(ann.fit(x[:3], 1), x[:3], 5) == 1
+
+
+def test_nearest_of_long_vectors(spark):
+    rng = np.random.default_rng(6)
+    rows = [(k, v.tolist()) for k, v in enumerate(rng.normal(size=(60, 3000)))]
+    assert ann.search(spark, spark.createDataFrame(rows, "id long, v array<double>"), F.col("id") % 50 == 0).count() == 10
