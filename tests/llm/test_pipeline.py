@@ -1,9 +1,10 @@
 """The pipeline's stages on a small corpus, each against its own input."""
 
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
-from rowatlas.llm import registry
+from rowatlas.llm import registry, scratch
 
 from .test_free import sets, similar, words
 
@@ -57,6 +58,68 @@ def test_mix_and_tokens(kept):
     assert sorted(r.doc_id for r in kept[4]) == sorted(r.doc_id for r in kept[3])
 
 
+def test_run_is_its_stages(spark, kept):
+    out = corpus_pipeline.run(spark, DIR).collect()
+    assert sorted(map(str, out)) == sorted(map(str, kept[-1]))
+
+
+KIND = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+@pytest.fixture(scope="module")
+def odd(spark, tmp_path_factory):
+    """Tables with nulls in every column, repeats, and empty and long texts; and empty ones."""
+    some, none = (str(tmp_path_factory.mktemp(n)) for n in ("some", "none"))
+    good = " ".join(f"word{k}" for k in range(80))
+    item = "what is the answer to this very long question about everything"
+    rows = [(1, good, "en", "a", 9), (1, good, "en", "a", 9), (2, None, None, None, None), (2, "", "en", "b", 0), (None, f"so {item} it is", "en", "b", 1), (None, "some other clean text of an unknown id " + good[:60], "en", None, 1), (None, None, None, None, None), (3, good + " more", "de", "a", 1), (4, " ".join(f"long{k}" for k in range(150_000)), "en", "b", 1)]
+    marks = [(1, 1, 0), (2, None, None), (None, 1, 0), (99, 1, 0), (1, 1, 0)]
+    for path, r, m, b in ((some, rows, marks, [(1, item), (2, None), (None, ""), (3, "word1")]), (none, [], [], [])):
+        spark.createDataFrame(r, KIND).write.parquet(f"{path}/documents.parquet")
+        spark.createDataFrame(m, "doc_id long, quality int, toxic int").write.parquet(f"{path}/labels.parquet")
+        spark.createDataFrame(b, "item_id long, text string").write.parquet(f"{path}/benchmark.parquet")
+    return some, none
+
+
+def test_stages_on_odd_rows(spark, odd):
+    some, _ = odd
+    docs = spark.read.parquet(f"{some}/documents.parquet")
+    extra = docs.withColumns({c: F.lit(7) for c in ("score", "uid", "tk", "row", "_t", "_d", "size", "item_id", "start")})
+    said = lambda df: sorted((str(r.doc_id), (r.text or "")[:12]) for r in df.collect())
+    every = said(docs)
+    classified = corpus_pipeline.classify(spark, extra, some)
+    assert classified.columns == list(corpus_pipeline.COLUMNS) and said(classified) == every  # all labels are good
+    one = corpus_pipeline.deduplicate(spark, extra, some)
+    assert one.columns == list(corpus_pipeline.COLUMNS)
+    assert len(said(one)) == len(every) - 2 and said(one).count(("1", "word0 word1 ")) == 1 and ("3", "word0 word1 ") not in said(one)
+    clean = corpus_pipeline.drop_contaminated(spark, extra, some)
+    assert clean.columns == list(corpus_pipeline.COLUMNS) and said(clean) == [x for x in every if not x[1].startswith("so what")]
+    mixed = corpus_pipeline.mix(spark, extra, some)
+    assert mixed.columns == list(corpus_pipeline.COLUMNS) and set(said(mixed)) <= set(every)
+    ids = corpus_pipeline.tokenize(spark, extra, some)
+    assert ids.count() == len(every) and sorted(r.n_tokens for r in ids.collect())[:3] == [1, 1, 1]
+    assert corpus_pipeline.run(spark, some).columns == ["doc_id", "start", "n_tokens", "ids_crc32"]
+
+
+def test_stages_on_empty_tables(spark, odd):
+    _, none = odd
+    docs = spark.read.parquet(f"{none}/documents.parquet")
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs, none).count() == 0
+    assert corpus_pipeline.run(spark, none).count() == 0
+
+
+def test_a_cluster_needs_a_shared_folder():
+    class Context:
+        master = "spark://somewhere:7077"
+
+    class Session:
+        conf, sparkContext = type("Conf", (), {"get": staticmethod(lambda name, default: default)}), Context
+
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        scratch.new_path(Session, "x")
+
+
 def test_registry():
     names = registry.queries()
     assert "pipeline" in names and all(any(n.startswith(f"op{k}_") for n in names) for k in range(1, 11))
