@@ -2,6 +2,11 @@
 
 Every stage takes (spark, docs, sf_dir) and works on all rows its predecessor kept. All but
 the last return the columns of ``documents``.
+
+Defined cases: columns besides these are left out; null and empty texts are scored, are like nothing, contain
+nothing, are taken by the mix as often as the whole part of their source's ratio says, and become the end id alone; rows with a null or repeated
+doc_id are judged one by one; without labels of both kinds all documents have the same score (0.5 without any, which is
+accepted); empty tables give no rows.
 """
 
 from __future__ import annotations
