@@ -26,10 +26,6 @@ def column_letters(number: Column) -> Column:
     )
 
 
-def boolean_text(stored: Column) -> Column:
-    return F.when(stored == "1", "TRUE").when(stored == "0", "FALSE").otherwise(stored)
-
-
 def size_text(size: Column) -> Column:
     """Whole megabytes, or tenths of gigabytes, rounded up."""
     gb, mb = F.lit(1 << 30), F.lit(1 << 20)
@@ -57,38 +53,3 @@ def escape_display(text: Column) -> Column:
         return F.when((code < 32) | code.between(127, 159), F.concat(F.lit("\\u{"), F.hex(code), F.lit("}"))).otherwise(c)
 
     return F.when(short.rlike(r"[\x00-\x1f\x7f-\x9f]"), F.array_join(F.transform(F.split(short, ""), other), "")).otherwise(short)
-
-
-def format_kind(number_format: Column) -> Column:
-    """Kind of a built-in number format id."""
-    n = number_format
-    return F.when(n.between(14, 17), "date").when(n.between(18, 21) | n.between(45, 47), "time").when(n == 22, "datetime").otherwise("plain")
-
-
-def serial_text(stored: Column, kind: Column, date1904: bool = False) -> Column:
-    """A spreadsheet's serial number as a date, time or both; other text as it stands.
-
-    Seconds are rounded first. In the 1900 system day 0 is 1900-01-00 and day 60 is
-    1900-02-29, which never was; earlier days are one later than the plain count.
-    """
-    x = F.when(F.trim(stored).rlike(r"^[+-]?([0-9]+[.]?[0-9]*|[.][0-9]+)([eE][+-]?[0-9]+)?$"), F.trim(stored).try_cast("double"))
-    total = F.floor(x * 86400 + 0.5).cast("long")
-    day, second = F.floor(total / 86400).cast("int"), total % 86400
-    two = lambda v: F.lpad(v.cast("string"), 2, "0")
-    clock = F.concat_ws(":", two(F.floor(second / 3600)), two(F.floor(second / 60) % 60), two(second % 60))
-    if date1904:
-        known = F.date_add(F.lit("1904-01-01").cast("date"), day)
-        date = F.date_format(known, "yyyy-MM-dd")
-        fits = F.year(known) <= 9999
-    else:
-        plain = F.date_add(F.lit("1899-12-30").cast("date"), day + (day < 60).cast("int"))
-        date = F.when(day == 0, "1900-01-00").when(day == 60, "1900-02-29").otherwise(F.date_format(plain, "yyyy-MM-dd"))
-        fits = F.year(plain) <= 9999
-    inside = x.isNotNull() & (x >= 0) & (x < 2958466)
-    return (
-        F.when(~F.coalesce(inside, F.lit(False)), stored)
-        .when(kind == "time", clock)
-        .when((kind == "date") & fits, date)
-        .when((kind == "datetime") & fits, F.concat(date, F.lit(" "), clock))
-        .otherwise(stored)
-    )

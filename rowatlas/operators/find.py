@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from rowatlas.functions.arrays import sums_before
 from rowatlas.functions.text import ascii_lower
 from rowatlas.operators.rows import ranked
 
@@ -34,25 +35,35 @@ def hit_count(text: Column, needle: str, case_sensitive: bool = True) -> Column:
     return F.regexp_count(hay, _ahead(sought))
 
 
-def hits(df: DataFrame, text: Column, needle: str, case_sensitive: bool = True) -> DataFrame:
-    """``row, start, end``: byte positions in the record, every overlapping hit.
+def hits(df: DataFrame, text: Column, needle: str, case_sensitive: bool = True, keys: tuple[str, ...] = ("row",)) -> DataFrame:
+    """``keys``, ``start, end``: byte positions in the record, every overlapping hit.
 
-    Records without a hit go first. Others are split in front of each occurrence, so a hit
-    starts where the pieces before it end: one pass over the text.
+    Records without a hit go first, in the scan. Others are split in front of each occurrence, so a hit
+    starts where the pieces before it end: time in proportion to the text and its hits.
     """
     hay, sought = _both(text, needle, case_sensitive)
     size = len(needle.encode())
-    cut = df.select("row", hay.alias("_hay")).where(F.contains(F.col("_hay"), sought))
-
-    def add(acc: Column, piece: Column) -> Column:
-        return F.struct((acc["at"] + F.octet_length(piece)).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out"))
-
-    zero = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<long>").alias("out"))
-    starts = F.aggregate(F.split(F.col("_hay"), _ahead(sought), -1), zero, add, lambda acc: acc["out"])
+    cut = df.select(*keys, hay.alias("_hay")).where(F.contains(F.col("_hay"), sought))
+    starts = sums_before(F.transform(F.split(F.col("_hay"), _ahead(sought), -1), lambda p: F.octet_length(p).cast("long")))
     # The first piece is a hit only if the record starts with one.
     first = F.when(F.startswith(F.col("_hay"), sought), 1).otherwise(2)
-    found = cut.select("row", starts.alias("s"), first.alias("f")).select("row", F.explode(F.slice("s", F.col("f"), F.size("s"))).alias("start"))
-    return found.select("row", "start", (F.col("start") + size).alias("end"))
+    found = cut.select(*keys, starts.alias("s"), first.alias("f")).select(*keys, F.explode(F.slice("s", F.col("f"), F.size("s"))).alias("start"))
+    return found.select(*keys, "start", (F.col("start") + size).alias("end"))
+
+
+def first_hits(df: DataFrame, text: Column, needle: str, count: int, case_sensitive: bool = True, keys: tuple[str, ...] = ("row",)) -> DataFrame:
+    """The first hits in the order of ``keys``, on demand: no record is numbered and no other hit is placed.
+
+    The first ``count`` hits lie in the first ``count`` records that match, which are a top-k of the scan.
+    """
+    near = matching(df, text, needle, case_sensitive).orderBy(*keys).limit(count)
+    return hits(near, text, needle, case_sensitive, keys).orderBy(*keys, "start").limit(count)
+
+
+def search_counts(df: DataFrame, text: Column, needle: str, case_sensitive: bool = True) -> DataFrame:
+    """One row: records examined, records with a hit, and hits."""
+    found = hit_count(text, needle, case_sensitive)
+    return df.agg(F.count("*").alias("examined"), F.count(F.when(found > 0, 1)).alias("matching"), F.coalesce(F.sum(found), F.lit(0)).cast("long").alias("hits"))
 
 
 def numbered(found: DataFrame) -> DataFrame:

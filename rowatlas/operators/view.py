@@ -13,10 +13,28 @@ _U64 = (1 << 64) - 1
 
 
 def viewport(df: DataFrame, first: int, count: int = ROWS, by: str = "row") -> DataFrame:
-    """Rows ``first`` up to ``count`` (128 at most): a range filter, which stored row statistics prune."""
+    """Rows ``first`` up to ``count`` (128 at most): a range filter."""
     return df.where(F.col(by).between(first, first + min(count, ROWS) - 1))
 
 
+def first_rows(df: DataFrame, *keys: str, count: int = ROWS) -> DataFrame:
+    """The first window in the order of the keys, before any other row is placed: a top-k of the scan."""
+    top = df.orderBy(*(F.col(k).asc_nulls_first() for k in keys)).limit(min(count, ROWS))
+    return top.withColumn("row", (F.row_number().over(Window.orderBy(*(F.col(k).asc_nulls_first() for k in keys))) - 1).cast("long"))
+
+
+def any_flags(df: DataFrame, *flags: str) -> DataFrame:
+    """One row: whether any row has each flag; false without rows."""
+    return df.agg(*(F.coalesce(F.bool_or(f), F.lit(False)).alias(f"any_{f}") for f in flags))
+
+
+def window_json(window: DataFrame, text: str = "preview") -> DataFrame:
+    """``row, json``: rows of a window as JSON, with their preview as text (what is no UTF-8 is replaced), its bytes, and whether it was cut."""
+    raw = F.col(text).cast("binary")
+    shown = F.coalesce(F.make_valid_utf8(raw.cast("string")), F.lit(""))
+    return window.select("row", F.to_json(F.struct("row", shown.alias("preview_utf8_lossy"), F.octet_length(raw).alias("preview_bytes"), "truncated")).alias("json"))
+
+
 def reached_end(df: DataFrame, first: int, count: int = ROWS, by: str = "row") -> DataFrame:
     """One row: whether a window reaches beyond the last row."""
     return df.agg((F.coalesce(F.max(by), F.lit(-1)) < first + min(count, ROWS)).alias("reached_eof"))

@@ -13,8 +13,10 @@ from pyspark.sql import functions as F
 from rowatlas.functions import text as T
 from rowatlas.operators import columns as C
 from rowatlas.operators import find, index, rows, sort, view
+from rowatlas.plans import files
 from rowatlas.plans.document import summary_json
-from rowatlas.sources import display, lines
+from rowatlas.sources import delimited, display, fields, lines, xlsx
+from rowatlas.sources.scanner import CSV, TSV
 from rowatlas.streaming.progress import counted
 
 _QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {}
@@ -70,7 +72,24 @@ def record_count(spark, d):
 
 @query("""SELECT "row", o_orderkey, o_orderstatus FROM (SELECT o_orderkey, o_orderstatus, row_number() OVER (ORDER BY o_orderkey) - 1 AS "row" FROM orders) WHERE "row" BETWEEN 700 AND 827""")
 def viewport_rows(spark, d):
-    return view.viewport(_rows(spark, d, "orders", "o_orderkey", "o_orderstatus"), 700).select("row", "o_orderkey", "o_orderstatus")
+    t = _table(spark, d, "orders", "o_orderkey", "o_orderstatus")
+    return rows.at(t, view.viewport(rows.places(t, "o_orderkey"), 700), "o_orderkey").select("row", "o_orderkey", "o_orderstatus")
+
+
+@query("""SELECT row_number() OVER (ORDER BY o_orderkey) - 1 AS "row", o_orderkey, o_orderstatus FROM orders ORDER BY o_orderkey LIMIT 128""")
+def first_viewport(spark, d):
+    return view.first_rows(_table(spark, d, "orders", "o_orderkey", "o_orderstatus"), "o_orderkey").select("row", "o_orderkey", "o_orderstatus")
+
+
+@query("""SELECT "row", '{"row":' || "row" || ',"preview_utf8_lossy":"' || n_name || '","preview_bytes":' || strlen(n_name) || ',"truncated":false}' AS json FROM (SELECT n_name, row_number() OVER (ORDER BY n_nationkey) - 1 AS "row" FROM nation) WHERE "row" BETWEEN 5 AND 132""")
+def viewport_json(spark, d):
+    return view.window_json(view.preview(view.viewport(_rows(spark, d, "nation", "n_nationkey", "n_name"), 5), "n_name"))
+
+
+@query("SELECT coalesce(bool_or(strlen(text) > 4096), false) AS any_truncated, false AS any_invalid FROM documents")
+def any_flags(spark, d):
+    cut = view.preview(_table(spark, d, "documents", "text"), "text").withColumn("invalid", ~F.is_valid_utf8("text"))
+    return view.any_flags(cut, "truncated", "invalid")
 
 
 @query("""SELECT "row", n_nationkey, n_name FROM (SELECT n_nationkey, n_name, row_number() OVER (ORDER BY n_nationkey) - 1 AS "row" FROM nation) WHERE "row" >= 1000""")
@@ -85,7 +104,8 @@ def viewport_reached_eof(spark, d):
 
 @query("""SELECT "row", p_partkey, p_name FROM (SELECT p_partkey, p_name, row_number() OVER (ORDER BY p_partkey) - 1 AS "row" FROM part) WHERE "row" = 122""")
 def goto_row(spark, d):
-    return view.viewport(_rows(spark, d, "part", "p_partkey", "p_name"), view.parse_row("123"), 1).select("row", "p_partkey", "p_name")
+    t = _table(spark, d, "part", "p_partkey", "p_name")
+    return rows.at(t, view.viewport(rows.places(t, "p_partkey"), view.parse_row("123"), 1), "p_partkey").select("row", "p_partkey", "p_name")
 
 
 @query("""SELECT doc_id, least(strlen(text), 4096) AS preview_bytes, strlen(text) > 4096 AS truncated, md5(encode(text)[1:4096]) AS preview_md5 FROM documents""")
@@ -103,11 +123,79 @@ def line_records(spark, d):
     return lines.line_records(_table(spark, d, "documents", "doc_id", "text"), "doc_id", "text").select("doc_id", F.col("line").cast("long").alias("line"), "value")
 
 
-@query("""SELECT conv_id, turn, field, ordinal FROM (SELECT conv_id, turn, unnest(string_split(text, ',')) AS field, generate_subscripts(string_split(text, ','), 1) - 1 AS ordinal FROM conversations WHERE text NOT LIKE '%"%')""")
+# No text of the tables holds a quote; what quotes do is checked by the csv_ queries.
+@query("""SELECT conv_id, turn, unnest(string_split(coalesce(text, ''), ',')) AS field, generate_subscripts(string_split(coalesce(text, ''), ','), 1) - 1 AS ordinal FROM conversations""")
 def split_fields(spark, d):
-    t = _table(spark, d, "conversations", "conv_id", "turn", "text").where(~F.contains("text", F.lit('"')))
-    cut = t.select("conv_id", "turn", F.posexplode(lines.split_fields(F.col("text"))).alias("ordinal", "field"))
-    return cut.select("conv_id", "turn", "field", F.col("ordinal").cast("long").alias("ordinal"))
+    t = _table(spark, d, "conversations", "conv_id", "turn", "text").select("conv_id", "turn", F.lit(0).cast("long").alias("start"), F.coalesce("text", F.lit("")).cast("binary").alias("bytes"))
+    cut = fields.project_fields(t, CSV, fields.UNBOUNDED).select("conv_id", "turn", F.explode("fields").alias("f"))
+    return cut.select("conv_id", "turn", F.col("f.decoded").cast("string").alias("field"), F.col("f.ordinal").cast("long").alias("ordinal"))
+
+
+def _records(spark, paths: list[str], dialect: str) -> DataFrame:
+    delimited.register(spark)
+    return spark.read.format("rowdocument").option("dialect", dialect).load(",".join(paths))
+
+
+def _cell(k: int):
+    return F.col("fields")[k]["decoded"].cast("string")
+
+
+@query("""SELECT c_custkey, c_name || ',"x"' || chr(10) || c_mktsegment AS note, c_nationkey::VARCHAR AS nation, true AS quoted, true AS escaped, false AS bare_quoted, 3 AS n_fields FROM customer""")
+def csv_fields(spark, d):
+    """Quoted delimiters, quotes and line ends, through files and back."""
+    t = _table(spark, d, "customer", "c_custkey", "c_name", "c_mktsegment", "c_nationkey")
+    note = F.concat(F.col("c_name"), F.lit(',"x"\n'), F.col("c_mktsegment"))
+    paths = files.write_records(t.select(F.concat_ws(",", files.quoted(F.col("c_custkey").cast("string")), files.quoted(note), F.col("c_nationkey").cast("string"))), "csv")
+    read = fields.project_fields(_records(spark, paths, "csv"), CSV, fields.UNBOUNDED)
+    f = F.col("fields")
+    return read.select(_cell(0).cast("long").alias("c_custkey"), _cell(1).alias("note"), _cell(2).alias("nation"), f[0]["quoted"].alias("quoted"), f[1]["escaped_quotes"].alias("escaped"), f[2]["quoted"].alias("bare_quoted"), F.size(f).alias("n_fields"))
+
+
+@query("""WITH r AS (SELECT p_partkey, row_number() OVER (ORDER BY p_partkey) - 1 AS "row", p_partkey || ',"' || p_name || chr(10) || 'of ' || p_partkey || '"' AS record, p_name || chr(10) || 'of ' || p_partkey AS name FROM part)
+SELECT "row", p_partkey::VARCHAR AS key, name, (sum(strlen(record) + 1) OVER (ORDER BY p_partkey) - strlen(record) - 1)::BIGINT AS start, (sum(strlen(record) + 1) OVER (ORDER BY p_partkey) - 1)::BIGINT AS "end" FROM r""")
+def csv_blocks(spark, d):
+    """One file in many blocks, with line ends inside of quotes: rows, places and fields."""
+    t = _table(spark, d, "part", "p_partkey", "p_name").orderBy("p_partkey")
+    key = F.col("p_partkey").cast("string")
+    (path,) = files.write_records(t.select(F.concat_ws(",", key, files.quoted(F.concat(F.col("p_name"), F.lit("\nof "), key)))), "csv-blocks", one=True)
+    read = fields.project_fields(delimited.read_records(spark, path, CSV, 16 << 10), CSV, fields.UNBOUNDED)
+    return read.select("row", _cell(0).alias("key"), _cell(1).alias("name"), "start", "end")
+
+
+@query("""SELECT n_nationkey::VARCHAR AS key, n_name || ', ' || n_regionkey AS name, 2 AS n_fields FROM nation""")
+def tsv_fields(spark, d):
+    t = _table(spark, d, "nation", "n_nationkey", "n_name", "n_regionkey")
+    paths = files.write_records(t.select(F.concat_ws("\t", F.col("n_nationkey").cast("string"), F.concat_ws(", ", F.col("n_name"), F.col("n_regionkey").cast("string")))), "tsv")
+    return fields.project_fields(_records(spark, paths, "tsv"), TSV, fields.UNBOUNDED).select(_cell(0).alias("key"), _cell(1).alias("name"), F.size("fields").alias("n_fields"))
+
+
+@query(r"""SELECT s_suppkey, CASE WHEN s_suppkey % 2 = 0 THEN 'invalid' ELSE 'valid' END AS utf8_status, CASE WHEN s_suppkey % 2 = 0 THEN '\xFF' || s_name || '\xC3' ELSE s_name END AS shown, s_suppkey % 2 = 0 AS escaped_non_utf8 FROM supplier""")
+def csv_bad_bytes(spark, d):
+    """Bytes that are no UTF-8, through files, fields and display text."""
+    t = _table(spark, d, "supplier", "s_suppkey", "s_name")
+    bad = F.col("s_suppkey") % 2 == 0
+    raw = F.concat(F.concat(F.col("s_suppkey").cast("string"), F.lit(",")).cast("binary"), F.when(bad, F.unhex(F.lit("FF"))).otherwise(F.unhex(F.lit(""))), F.col("s_name").cast("binary"), F.when(bad, F.unhex(F.lit("C3"))).otherwise(F.unhex(F.lit(""))))
+    read = fields.project_fields(_records(spark, files.write_records(t.select(raw.cast("string")), "bad-bytes"), "csv"), CSV, fields.UNBOUNDED)
+    cells = read.select(_cell(0).cast("long").alias("row"), F.col("fields")[1]["decoded"].alias("raw"), F.col("fields")[1]["utf8_status"].alias("utf8_status"))
+    shown = display.rendered(cells, "raw").select("row", F.col("text").alias("shown"), "escaped_non_utf8")
+    return cells.select("row", "utf8_status").join(shown, "row").withColumnRenamed("row", "s_suppkey")
+
+
+@query("""SELECT 'unterminated_quoted_field' AS kind, (sum(strlen(r_regionkey || ',' || r_name) + 1) + strlen('9,"open') + 1 + strlen('to the end') + 1)::BIGINT AS at, sum(strlen(r_regionkey || ',' || r_name) + 1)::BIGINT AS record_start FROM region""")
+def csv_open_quote(spark, d):
+    """A quote that is never closed: where the file ends, and where its record starts."""
+    t = _table(spark, d, "region", "r_regionkey", "r_name").select(F.col("r_regionkey").alias("k"), F.concat_ws(",", F.col("r_regionkey").cast("string"), F.col("r_name")).alias("value"))
+    last = spark.range(1).select(F.lit(1 << 40).alias("k"), F.lit('9,"open\nto the end').alias("value"))
+    (path,) = files.write_records(t.unionByName(last).orderBy("k").select("value"), "open-quote", one=True)
+    return spark.createDataFrame([delimited.diagnostic(spark, path, CSV)], "kind string, at long, record_start long")
+
+
+@query("SELECT event_id || ':' || props AS value, strlen(event_id || ':' || props) AS size FROM events")
+def file_lines(spark, d):
+    """JSON Lines files and the like: plain lines, quotes and all."""
+    t = _table(spark, d, "events", "event_id", "props")
+    read = _records(spark, files.write_records(t.select(F.concat_ws(":", F.col("event_id").cast("string"), F.col("props"))), "lines"), "lines")
+    return read.select(F.col("bytes").cast("string").alias("value"), (F.col("end") - F.col("start")).alias("size"))
 
 
 @query(_LINES + " SELECT least(max(len(string_split(value, ','))), 64) AS width FROM l")
@@ -205,9 +293,24 @@ s AS (SELECT "row", strlen(substr(x, 1, i - 1)) AS start FROM h),
 o AS (SELECT "row", start, start + {len(needle.encode())} AS "end", row_number() OVER (ORDER BY "row", start) - 1 AS hit FROM s) """
 
 
+def _placed(table: DataFrame, text: str, needle: str, *keys: str) -> DataFrame:
+    """Hits by row: texts are searched where they are scanned, and only the keys of a table are numbered."""
+    return find.hits(table, F.col(text), needle, keys=keys).join(rows.places(table, *keys), list(keys)).select("row", "start", "end")
+
+
 @query(_hits_sql("documents", "doc_id", "text", "enen") + """SELECT "row", start, "end" FROM o""")
 def find_hits_overlapping(spark, d):
-    return find.hits(_rows(spark, d, "documents", "doc_id", "text"), F.col("text"), "enen")
+    return _placed(_table(spark, d, "documents", "doc_id", "text"), "text", "enen", "doc_id")
+
+
+@query(_hits_sql("documents", "doc_id", "text", "enen") + """SELECT doc_id, start, "end" FROM o JOIN (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS "row" FROM documents) USING ("row") WHERE hit < 5""")
+def find_first(spark, d):
+    return find.first_hits(_table(spark, d, "documents", "doc_id", "text"), F.col("text"), "enen", 5, keys=("doc_id",))
+
+
+@query("SELECT count(*) AS examined, count(*) FILTER (contains(text, 'tion')) AS matching, sum((length(text) - length(replace(text, 'tion', ''))) // 4)::BIGINT AS hits FROM conversations")
+def search_counts(spark, d):
+    return find.search_counts(_table(spark, d, "conversations", "text"), F.col("text"), "tion")
 
 
 @query("SELECT sum((length(text) - length(replace(text, 'the', ''))) // 3)::BIGINT AS hits FROM documents")
@@ -216,7 +319,7 @@ def find_hit_count(spark, d):
 
 
 def _conversation_hits(spark, d):
-    return find.numbered(find.hits(_rows(spark, d, "conversations", "conv_id", "turn", "text", keys=2), F.col("text"), "tion"))
+    return find.numbered(_placed(_table(spark, d, "conversations", "conv_id", "turn", "text"), "text", "tion", "conv_id", "turn"))
 
 
 _TION = _hits_sql("conversations", "conv_id, turn", "text", "tion")
@@ -243,7 +346,7 @@ _PROPS = _hits_sql("events", "event_id", "props", "7")
 
 @query(_PROPS + """SELECT count(*) FILTER (hit < 40) AS stored, count(*) > 40 AS exceeded, CASE WHEN count(*) > 40 THEN 48 + 24 * 41 END::BIGINT AS required, max("row") FILTER (hit = 40) AS rejected_row FROM o""")
 def find_quota(spark, d):
-    held = find.numbered(find.hits(_rows(spark, d, "events", "event_id", "props"), F.col("props"), "7"))
+    held = find.numbered(_placed(_table(spark, d, "events", "event_id", "props"), "props", "7", "event_id"))
     return find.quota_status(held, 48 + 24 * 40 + 23)
 
 
@@ -281,7 +384,8 @@ def display_escape(spark, d):
 @query(r"""WITH e AS (SELECT row_number() OVER (ORDER BY doc_id) - 1 AS "row", replace(text, chr(10), '\n') AS x FROM documents)
 SELECT "row", CASE WHEN length(x) > 1024 THEN substr(x, 1, 1020) || ' ...' ELSE x END AS text, false AS source_truncated, length(x) > 1024 AS display_truncated, false AS escaped_non_utf8 FROM e""")
 def display_bounded(spark, d):
-    return display.rendered(_rows(spark, d, "documents", "doc_id", "text"), "text")
+    t = _table(spark, d, "documents", "doc_id", "text")
+    return display.rendered(t.join(rows.places(t, "doc_id"), "doc_id"), "text")
 
 
 @query("""SELECT string_agg(n || chr(9) || r_regionkey || chr(9) || r_name, chr(13) || chr(10) ORDER BY n) AS text FROM (SELECT *, row_number() OVER (ORDER BY r_regionkey) AS n FROM region)""")
@@ -315,7 +419,14 @@ def checkpoint_lookup(spark, d):
     return index.nearest(index.row_index(_offsets(spark, d), 8, 4), 777)
 
 
-@query()
+@query(_OFFSETS.replace("WITH o AS (", "WITH RECURSIVE o AS MATERIALIZED (").rstrip() + """,
+c AS (SELECT [0::BIGINT] AS rs, [0::BIGINT] AS os, 256::BIGINT AS stride, 0::BIGINT AS seen, false AS done
+  UNION ALL
+  SELECT CASE WHEN r IS NULL THEN rs ELSE list_append(rs, r) END, CASE WHEN r IS NULL THEN os ELSE list_append(os, f) END, stride, coalesce(r, seen), r IS NULL FROM (
+    SELECT *, (SELECT min("row") FROM o WHERE "row" > seen AND "offset" >= os[-1] + stride) AS r, (SELECT min("offset") FROM o WHERE "row" > seen AND "offset" >= os[-1] + stride) AS f FROM (
+      SELECT CASE WHEN thin THEN list_filter(rs, lambda x, i: i % 2 = 1) ELSE rs END AS rs, CASE WHEN thin THEN list_filter(os, lambda x, i: i % 2 = 1) ELSE os END AS os, CASE WHEN thin THEN 2 * stride ELSE stride END AS stride, seen FROM (
+        SELECT *, len(rs) = 64 AND seen < (SELECT max("row") FROM o) AS thin FROM c WHERE NOT done))))
+SELECT unnest(rs) AS "row", unnest(os) AS "offset" FROM c WHERE done""")
 def checkpoint_byte_index(spark, d):
     return index.byte_index(_offsets(spark, d), 64, 256)
 
@@ -331,12 +442,36 @@ def row_window_seek(spark, d):
 SELECT n, CASE WHEN n >= 2958466 THEN n::VARCHAR WHEN n = 0 THEN '1900-01-00' WHEN n = 60 THEN '1900-02-29' WHEN n < 60 THEN strftime(DATE '1899-12-31' + n::INT, '%Y-%m-%d') ELSE strftime(DATE '1899-12-30' + n::INT, '%Y-%m-%d') END AS shown FROM n""")
 def xlsx_serial_text(spark, d):
     n = _table(spark, d, "part", "p_partkey").union(_table(spark, d, "orders", "o_orderkey").select(F.col("o_orderkey") * 37)).toDF("n")
-    return n.select("n", T.serial_text(F.col("n").cast("string"), F.lit("date")).alias("shown"))
+    folder = files.write_workbooks(n, lambda r: [files.number_cell(str(r["n"])), files.number_cell(str(r["n"]), 1)], [0, 14], "serials")
+    return _sheet(spark, folder).select(F.col("c")[0].cast("long").alias("n"), F.col("c")[1].alias("shown"))
+
+
+def _sheet(spark, folder: str) -> DataFrame:
+    """Cell texts of all rows of all workbooks of a folder."""
+    return xlsx.read_sheet(spark, folder).select(F.transform("cells", lambda x: x["text"]).alias("c"))
 
 
-@query("SELECT p_partkey, CASE WHEN p_size BETWEEN 14 AND 17 THEN 'date' WHEN p_size BETWEEN 18 AND 21 OR p_size BETWEEN 45 AND 47 THEN 'time' WHEN p_size = 22 THEN 'datetime' ELSE 'plain' END AS kind FROM part")
+@query("SELECT p_partkey, CASE WHEN p_size BETWEEN 14 AND 17 THEN '1900-01-01' WHEN p_size BETWEEN 18 AND 21 OR p_size BETWEEN 45 AND 47 THEN '12:00:00' WHEN p_size = 22 THEN '1900-01-01 12:00:00' ELSE '1.5' END AS shown FROM part")
 def xlsx_format_kind(spark, d):
-    return _table(spark, d, "part", "p_partkey", "p_size").select("p_partkey", T.format_kind(F.col("p_size")).alias("kind"))
+    """One and a half in the number format of each part's size."""
+    part = _table(spark, d, "part", "p_partkey", "p_size")
+    folder = files.write_workbooks(part, lambda r: [files.number_cell(str(r["p_partkey"])), files.number_cell("1.5", r["p_size"])], list(range(64)), "formats")
+    return _sheet(spark, folder).select(F.col("c")[0].cast("long").alias("p_partkey"), F.col("c")[1].alias("shown"))
+
+
+@query("""SELECT p_partkey, p_name || ' <&>' AS name, CASE WHEN p_partkey % 2 = 0 THEN 'shared & first' ELSE 'two runs' END AS shared, CASE WHEN p_partkey % 3 = 0 THEN 'TRUE' ELSE 'FALSE' END AS flag, strftime(DATE '1899-12-30' + (1000 + p_partkey % 9000)::INT, '%Y-%m-%d') AS day FROM part""")
+def workbook_cells(spark, d):
+    """Numbers, texts, shared strings, booleans and dates, through workbooks and back."""
+    part = _table(spark, d, "part", "p_partkey", "p_name")
+    made = lambda r: [files.number_cell(str(r["p_partkey"])), files.text_cell(r["p_name"] + " <&>"), files.shared_cell(r["p_partkey"] % 2), files.boolean_cell(r["p_partkey"] % 3 == 0), files.number_cell(str(1000 + r["p_partkey"] % 9000), 1)]
+    c = F.col("c")
+    return _sheet(spark, files.write_workbooks(part, made, [0, 14], "cells")).select(c[0].cast("long").alias("p_partkey"), c[1].alias("name"), c[2].alias("shared"), c[3].alias("flag"), c[4].alias("day"))
+
+
+@query("SELECT * FROM (VALUES (0, 'Kept', true, true), (1, 'Away', false, false)) AS v(position, name, visible, offered)")
+def workbook_sheets(spark, d):
+    folder = files.write_workbooks(_table(spark, d, "region", "r_regionkey").coalesce(1), lambda r: [files.number_cell(str(r["r_regionkey"]))], [0], "sheets")
+    return xlsx.read_sheets(spark, folder).select("position", "name", "visible", "offered")
 
 
 @query("""SELECT p_partkey, CASE WHEN p_partkey <= 26 THEN chr((64 + p_partkey)::INT) WHEN p_partkey <= 702 THEN chr((65 + (p_partkey - 27) // 26)::INT) || chr((65 + (p_partkey - 27) % 26)::INT)

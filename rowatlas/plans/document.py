@@ -38,8 +38,8 @@ class Document:
         records = delimited.read_records(spark, path)
         if kind == "lines":
             return cls(spark, records.withColumn("fields", F.array(F.col("bytes"))), "preview", columns.Columns(1))
-        whole = fields.project_fields(records, delimited.dialect_of(path), fields.UNBOUNDED)
-        return cls(spark, records.join(whole.select("row", F.transform("fields", lambda f: f["decoded"]).alias("fields")), "row"), "fields", columns.Columns(columns.MOST))
+        whole = fields.project_fields(records, delimited.dialect_of(path), fields.UNBOUNDED).drop("fields_truncated")
+        return cls(spark, whole.withColumn("fields", F.transform("fields", lambda f: f["decoded"])), "fields", columns.Columns(columns.MOST))
 
     def count(self) -> int:
         return self.records.count()

@@ -13,6 +13,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
 from dataclasses import asdict
+from itertools import islice
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -79,6 +80,35 @@ def block_records(path: str, at: int, length: int, state: int, row: int, dialect
             yield row + len(opened) - 1, s, s + len(raw), raw
 
 
+def file_records(path: str, size: int, dialect: Dialect, block_bytes: int = BLOCK_BYTES) -> Iterator[tuple[int, int, int, bytes]]:
+    """(row, start, end, bytes) of all records of a file, block by block."""
+    state, row = RECORD, 0
+    for at in range(0, size, block_bytes):
+        yield from block_records(path, at, min(block_bytes, size - at), state, row, dialect)
+        with open(path, "rb") as f:
+            f.seek(at)
+            state, starts = _after(f.read(block_bytes), state, dialect)
+        row += starts
+
+
+def _after(data: bytes, state: int, dialect: Dialect) -> tuple[int, int]:
+    """State after a block, and the records that start in it."""
+    if plain := plain_block(data, state, dialect):
+        return plain[2], len(plain[0])
+    seen = [0]
+
+    def start(_: int) -> None:
+        seen[0] += 1
+
+    return Scanner(dialect).scan(data, state, start, lambda _: None)[0], seen[0]
+
+
+def first_records(path: str, count: int, dialect: Dialect | None = None) -> list[tuple[int, int, int, bytes]]:
+    """The first records of a file, before the rest of it is read: for the first window of a document."""
+    check_path(path)
+    return list(islice(file_records(path, Fingerprint.of(path).size, dialect or dialect_of(path), 1 << 20), count))
+
+
 def _emit(rows: Iterator[tuple[int, int, int, bytes]], path: str) -> Iterator[pa.RecordBatch]:
     held: list[tuple[int, int, int, bytes]] = []
     size = 0
@@ -153,6 +183,8 @@ class _FileReader(DataSourceReader):
         self.dialect = None
         if "delimiter" in options or "quote" in options:
             self.dialect = Dialect(ord(options.get("delimiter", ",")), ord(options.get("quote", '"')))
+        elif "dialect" in options:
+            self.dialect = {"csv": CSV, "tsv": TSV, "lines": LINES}[options["dialect"]]
         for p in self.paths:
             check_path(p)
         self.known = {p: Fingerprint.of(p) for p in self.paths}
@@ -163,12 +195,12 @@ class _FileReader(DataSourceReader):
     def read(self, partition: InputPartition) -> Iterator[pa.RecordBatch]:
         path = partition.value
         verify(path, self.known[path])
-        yield from _emit(block_records(path, 0, self.known[path].size, RECORD, 0, self.dialect or dialect_of(path)), path)
+        yield from _emit(file_records(path, self.known[path].size, self.dialect or dialect_of(path)), path)
         verify(path, self.known[path])
 
 
 class RowDocument(DataSource):
-    """``spark.read.format("rowdocument").load(path)``: a task for each file, for many files of moderate size."""
+    """``spark.read.format("rowdocument").load(path)``: a task for each file, which reads it in blocks. Options: ``dialect`` (csv, tsv, lines), or ``delimiter`` and ``quote``; else by suffix."""
 
     @classmethod
     def name(cls) -> str:

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from rowatlas.sources.scanner import CSV, Dialect
 
@@ -82,14 +82,18 @@ def project(record: bytes, dialect: Dialect = CSV, limits: Limits = Limits(), tr
 
 
 def project_fields(records: DataFrame, dialect: Dialect = CSV, limits: Limits = Limits()) -> DataFrame:
-    """``records`` (row, start, bytes, perhaps truncated) with ``fields`` and ``fields_truncated``."""
-    held = records.withColumn("truncated", F.lit(False)) if "truncated" not in records.columns else records
+    """``records`` (row, start, bytes, perhaps truncated) with ``fields`` and ``fields_truncated``, in one pass; columns of these names are replaced."""
+    held = records.drop("fields", "fields_truncated")
+    cut = "truncated" in held.columns
     types = [("ordinal", pa.int32()), ("raw_start", pa.int64()), ("raw_end", pa.int64()), ("decoded", pa.binary()), ("quoted", pa.bool_()), ("escaped_quotes", pa.bool_()), ("raw_truncated", pa.bool_()), ("decoded_truncated", pa.bool_()), ("utf8_status", pa.string())]
     kind = pa.list_(pa.struct(types))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = [project(r, dialect, limits, bool(t), s) for r, s, t in zip(b.column("bytes").to_pylist(), b.column("start").to_pylist(), b.column("truncated").to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([b.column("row"), pa.array([f for f, _ in rows], kind), pa.array([m for _, m in rows], pa.bool_())], ["row", "fields", "fields_truncated"])
+            short = b.column("truncated").to_pylist() if cut else [False] * b.num_rows
+            rows = [project(r, dialect, limits, bool(t), s) for r, s, t in zip(b.column("bytes").to_pylist(), b.column("start").to_pylist(), short, strict=True)]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([f for f, _ in rows], kind), pa.array([m for _, m in rows], pa.bool_())], [*b.schema.names, "fields", "fields_truncated"])
 
-    return held.select("row", "start", "bytes", "truncated").mapInArrow(run, f"row long, fields array<struct<{', '.join(x.strip().replace(' ', ':', 1) for x in SCHEMA.split(','))}>>, fields_truncated boolean")
+    inner = ", ".join(x.strip().replace(" ", ":", 1) for x in SCHEMA.split(","))
+    added = StructType.fromDDL(f"fields array<struct<{inner}>>, fields_truncated boolean")
+    return held.mapInArrow(run, StructType([*held.schema.fields, *added.fields]))

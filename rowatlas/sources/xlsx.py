@@ -139,7 +139,12 @@ class Archive:
             raise XlsxError("an entry is shorter than its header says")
 
     def parse(self, part: str, start, end=None, text=None) -> None:
-        """Stream a part through expat. UTF-8 only, no DOCTYPE, bounded tags."""
+        """Stream a part through expat."""
+        for _ in self.stream(part, start, end, text):
+            pass
+
+    def stream(self, part: str, start, end=None, text=None) -> Iterator[None]:
+        """``parse`` that gives way after each block. UTF-8 only, no DOCTYPE, bounded tags."""
         parser = expat.ParserCreate("UTF-8")
         parser.buffer_text = True
 
@@ -150,31 +155,42 @@ class Archive:
             if encoding and encoding.lower() not in ("utf-8", "utf8", "us-ascii", "ascii"):
                 refuse()
 
-        parser.StartDoctypeDeclHandler = parser.EntityDeclHandler = refuse
-        parser.XmlDeclHandler = declared
-
         def opened(name, attributes):
-            if sum(len(k) + len(v) + 4 for k, v in attributes.items()) > TAG_BYTES:
+            if len(name.encode()) + sum(len(k.encode()) + len(v.encode()) + 4 for k, v in attributes.items()) > TAG_BYTES:
                 raise XlsxError("a tag is too long")
             start(_local(name), {_local(k) if not k.startswith("xmlns") else k: v for k, v in attributes.items()}, attributes)
 
+        parser.StartDoctypeDeclHandler = parser.EntityDeclHandler = refuse
+        parser.XmlDeclHandler = declared
         parser.StartElementHandler = opened
         parser.EndElementHandler = (lambda name: end(_local(name))) if end else None
         parser.CharacterDataHandler = text
         try:
             for block in self.chunks(part):
                 parser.Parse(block, False)
+                yield
             parser.Parse(b"", True)
         except expat.ExpatError as e:
             raise XlsxError(f"bad XML in {part}: {e}") from None
+        yield
+
+
+def _number(text: str, what: str) -> int:
+    """A number in an attribute, in ASCII digits."""
+    if not re.fullmatch(r"[0-9]{1,10}", text):
+        raise XlsxError(f"{what} {text[:40]!r} is no number")
+    return int(text)
 
 
 def _resolve(base: str, target: str) -> str:
-    path = target[1:] if target.startswith("/") else posixpath.join(posixpath.dirname(base), target)
-    part = posixpath.normpath(path)
-    if part.startswith(".."):
-        raise XlsxError("a target outside of the package")
-    return part
+    """The part that a target names from the folder of ``base``; steps above the root are dropped."""
+    out: list[str] = []
+    for step in (target if target.startswith("/") else posixpath.join(posixpath.dirname(base), target)).split("/"):
+        if step == "..":
+            out = out[:-1]
+        elif step not in ("", "."):
+            out.append(step)
+    return "/".join(out)
 
 
 def _relations(archive: Archive, part: str) -> dict[str, tuple[str, str | None]]:
@@ -274,9 +290,9 @@ def _styles(archive: Archive, part: str, book: Workbook) -> None:
     def start(name, a, _):
         inside.append(name)
         if name == "numFmt" and "numFmts" in inside:
-            codes[int(a.get("numFmtId", "0"))] = a.get("formatCode", "")
+            codes[_number(a.get("numFmtId", "0"), "a number format")] = a.get("formatCode", "")
         elif name == "xf" and "cellXfs" in inside:
-            ids.append(int(a.get("numFmtId", "0")))
+            ids.append(_number(a.get("numFmtId", "0"), "a number format"))
         if len(codes) > STYLES or len(ids) > STYLES:
             raise XlsxError("too many formats")
 
@@ -331,7 +347,7 @@ def sheet_rows(archive: Archive, book: Workbook, sheet: Sheet) -> Iterator[tuple
     def start(name, a, _):
         run.start(name)
         if name == "row":
-            number = int(a["r"]) if "r" in a else state["row"] + 1
+            number = _number(a["r"], "a row") if "r" in a else state["row"] + 1
             if not state["row"] < number <= ROWS:
                 raise XlsxError("rows are out of order")
             state.update(row=number, column=-1, cells=[], wide=False, left=ROW_BYTES)
@@ -339,7 +355,7 @@ def sheet_rows(archive: Archive, book: Workbook, sheet: Sheet) -> Iterator[tuple
             column = _place(a["r"], state["row"]) if "r" in a else state["column"] + 1
             if not state["column"] < column < COLUMNS:
                 raise XlsxError("cells are out of order")
-            state.update(column=column, cell=(a.get("t", ""), int(a.get("s", "0"))), value=[])
+            state.update(column=column, cell=(a.get("t", ""), _number(a.get("s", "0"), "a style")), value=[])
             run.parts.clear()
         elif name == "v" and state["cell"]:
             state["inside"] = True
@@ -371,7 +387,8 @@ def sheet_rows(archive: Archive, book: Workbook, sheet: Sheet) -> Iterator[tuple
             done.append((state["row"] - 1, cells, state["wide"] or any(c for _, c in cells)))
 
     last = -1
-    for rows in _streamed(archive, sheet.part, start, end, text, done):
+    for _ in archive.stream(sheet.part, start, end, text):
+        rows, done[:] = list(done), []
         for number, cells, cut in rows:
             for missing in range(last + 1, number):
                 yield missing, [], False
@@ -379,30 +396,6 @@ def sheet_rows(archive: Archive, book: Workbook, sheet: Sheet) -> Iterator[tuple
             last = number
 
 
-def _streamed(archive: Archive, part: str, start, end, text, done: list) -> Iterator[list]:
-    """Parse in blocks; after each, hand over what ``done`` has gathered."""
-    parser = expat.ParserCreate("UTF-8")
-    parser.buffer_text = True
-
-    def refuse(*_):
-        raise XlsxError("XML with a DOCTYPE or another encoding")
-
-    parser.StartDoctypeDeclHandler = parser.EntityDeclHandler = refuse
-    parser.XmlDeclHandler = lambda v, encoding, s: refuse() if encoding and encoding.lower() not in ("utf-8", "utf8", "us-ascii", "ascii") else None
-    parser.StartElementHandler = lambda name, a: start(_local(name), {_local(k): v for k, v in a.items()}, a)
-    parser.EndElementHandler = lambda name: end(_local(name))
-    parser.CharacterDataHandler = text
-    try:
-        for block in archive.chunks(part):
-            parser.Parse(block, False)
-            rows, done[:] = list(done), []
-            yield rows
-        parser.Parse(b"", True)
-    except expat.ExpatError as e:
-        raise XlsxError(f"bad XML in {part}: {e}") from None
-    yield list(done)
-
-
 def pick(book: Workbook, name: str | None = None) -> Sheet:
     """The named sheet among the offered ones, or the first of them."""
     offered = [s for s in book.sheets if s.offered and (name is None or s.name == name)]

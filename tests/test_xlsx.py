@@ -64,6 +64,24 @@ def test_format_codes(code, want):
     assert xlsx.format_kind(164, code) == want
 
 
+def test_serials_and_booleans():
+    serials = {"0": "1900-01-00", "1": "1900-01-01", "59": "1900-02-28", "60": "1900-02-29", "61": "1900-03-01", "40000": "2009-07-06", "2958465": "9999-12-31", "2958466": "2958466", "-1": "-1", "abc": "abc", "": ""}
+    assert all(xlsx.serial_text(k, "date") == v for k, v in serials.items())
+    assert xlsx.serial_text("0", "date", True) == "1904-01-01" and xlsx.serial_text("1.5", "time") == "12:00:00"
+    assert xlsx.serial_text("40000.999999", "datetime") == "2009-07-07 00:00:00"
+    assert [xlsx.cell_text("b", b, "", 0, xlsx.Workbook([], False))[0] for b in ("1", "0", "2")] == ["TRUE", "FALSE", "2"]
+
+
+def test_targets():
+    assert [xlsx._resolve("xl/workbook.xml", t) for t in ("a.xml", "/b/c.xml", "../d.xml", "../../../e.xml", "./f/../g.xml")] == ["xl/a.xml", "b/c.xml", "d.xml", "e.xml", "xl/g.xml"]
+
+
+@pytest.mark.parametrize("data", ['<row r="x"/>', '<row r="1"><c s="-1"><v>1</v></c></row>', f'<row r="1"><c r="A1" t="{"y" * 70_000}"/></row>', '<row r="99999999999"/>'])
+def test_damaged_attributes(tmp_path, data):
+    with pytest.raises(xlsx.XlsxError):
+        _rows(book(tmp_path / "z.xlsx", [("S", "", data)]))
+
+
 def _rows(path):
     with open(path, "rb") as f:
         archive = xlsx.Archive(f.read())
