@@ -20,6 +20,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from rowatlas.functions.arrays import let, sums_before
+
 START, SEPARATOR, END, NEWLINE = "<|im_start|>", "<|im_sep|>", "<|im_end|>", "<|nl|>"
 #: What may start a control string of this or another usual template, by its first character.
 _CONTROL = r"<(?=\||/?s>|<SYS>>|</SYS>>)|\[(?=/?INST\])"
@@ -35,20 +37,15 @@ def unescape(text: Column) -> Column:
     return F.regexp_replace(text, r"\\(\\?)", "$1")
 
 
-def _let(value: Column, body) -> Column:
-    """``body(value)`` with the value evaluated once, however often and in whatever inner lambda it is used."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
 def _merged(turns: Column) -> Column:
     """Sorted turns to blocks of one role each: array of (role, texts). A block is the slice from one change of role to the next."""
 
     def blocks(t: Column) -> Column:
         starts = F.filter(F.sequence(F.lit(0), F.size(t) - 1), lambda i: (i == 0) | (F.get(t, i)["role"] != F.get(t, i - 1)["role"]))
         block = lambda s, end: F.struct(F.get(t, s)["role"].alias("role"), F.transform(F.slice(t, s + 1, end - s), lambda x: x["text"]).alias("texts"))
-        return _let(starts, lambda at: F.transform(at, lambda s, k: block(s, F.coalesce(F.get(at, k + 1), F.size(t)))))
+        return let(starts, lambda at: F.transform(at, lambda s, k: block(s, F.coalesce(F.get(at, k + 1), F.size(t)))))
 
-    return _let(turns, blocks)
+    return let(turns, blocks)
 
 
 def _pieces(block: Column, loss_role: str) -> Column:
@@ -60,25 +57,11 @@ def _pieces(block: Column, loss_role: str) -> Column:
     return F.concat(head, texts, F.array(piece(F.lit(END + "\n"), no)))
 
 
-#: Numbers that are summed up in one go: so adding up takes time in proportion to an array's length, up to CHUNK ** 4.
-CHUNK = 64
-
-
-def _before(numbers: Column, levels: int = 4) -> Column:
-    """For each of some long numbers the sum of those before it: sums inside chunks, then of chunks."""
-    upto = lambda a: F.aggregate(a, F.array(F.lit(0).cast("long")), lambda acc, v: F.concat(acc, F.array(F.element_at(acc, -1) + v)))
-    most = lambda sums: F.slice(sums, F.lit(1), F.size(sums) - 1)
-    if levels == 1:
-        return _let(upto(numbers), most)
-    cut = _let(numbers, lambda a: F.transform(F.sequence(F.lit(0), F.floor((F.size(a) - 1) / CHUNK).cast("int")), lambda k: upto(F.slice(a, k * CHUNK + 1, F.lit(CHUNK)))))
-    return _let(cut, lambda chunks: F.flatten(F.zip_with(chunks, _before(F.transform(chunks, lambda c: F.element_at(c, -1)), levels - 1), lambda c, first: F.transform(most(c), lambda v: v + first))))
-
-
 def _spans(pieces: Column) -> Column:
     """Start and length, in bytes of UTF-8, of each piece under the loss mask."""
     size = lambda p: F.octet_length(p["s"]).cast("long")
     span = lambda p, at: F.when(p["loss"], F.struct(at.alias("start"), size(p).alias("len")))
-    return _let(pieces, lambda ps: F.filter(F.zip_with(ps, _before(F.transform(ps, size)), span), lambda x: x.isNotNull()))
+    return let(pieces, lambda ps: F.filter(F.zip_with(ps, sums_before(F.transform(ps, size)), span), lambda x: x.isNotNull()))
 
 
 def format_conversations(df: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text", loss_role: str = "assistant") -> DataFrame:
@@ -116,4 +99,4 @@ def parse_formatted(formatted: Column) -> Column:
 def under_mask(formatted: Column, spans: Column) -> Column:
     """All text under the loss mask, unescaped, nothing between."""
     part = lambda raw, s: unescape(F.substring(raw, (s["start"] + 1).cast("int"), s["len"].cast("int")).cast("string"))
-    return _let(formatted.cast("binary"), lambda raw: F.array_join(F.transform(spans, lambda s: part(raw, s)), ""))
+    return let(formatted.cast("binary"), lambda raw: F.array_join(F.transform(spans, lambda s: part(raw, s)), ""))

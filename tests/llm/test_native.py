@@ -7,6 +7,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
+from rowatlas.functions.arrays import sums_before
 from rowatlas.llm import chat, decontaminate, licenses
 from rowatlas.llm import shingles as S
 
@@ -60,7 +61,7 @@ def test_long_conversations_take_time_in_proportion(spark):
 def test_sums_before(spark):
     for n in (0, 1, 63, 64, 65, 5000):
         a = spark.range(1).select(F.expr(f"transform(sequence(1, {n + 1}), x -> x * 7L)").alias("a")).select(F.slice("a", 1, n).alias("a"))
-        assert a.select(chat._before(F.col("a")).alias("s")).first().s == [7 * k * (k + 1) // 2 for k in range(n)]
+        assert a.select(sums_before(F.col("a")).alias("s")).first().s == [7 * k * (k + 1) // 2 for k in range(n)]
 
 
 def test_no_python_in_the_plan(spark):
