@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Rows of a key from which on it is not shuffled, and keys that are broadcast at most (a few numbers each: 16 MB).
-HOT_ROWS, HOT_KEYS = 1000, 200_000
+HOT_ROWS, HOT_KEYS = 100, 200_000
 
 
 def join_counted(left: DataFrame, right: DataFrame, key: str, count: str, total: int, left_outer: bool = False) -> DataFrame:
