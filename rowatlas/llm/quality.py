@@ -151,7 +151,7 @@ def held_out(doc_id: Column) -> Column:
 def _counted(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         x = [statistics(t or "") for t in b.column("text").to_pylist()]
-        yield pa.RecordBatch.from_arrays([b.column("k"), b.column("quality"), pa.array(x, pa.list_(pa.float64()))], ["k", "quality", "x"])
+        yield pa.RecordBatch.from_arrays([b.column("k"), b.column("quality"), b.column("d"), pa.array(x, pa.list_(pa.float64()))], ["k", "quality", "d", "x"])
 
 
 def train(spark: SparkSession, docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Trees:
@@ -159,9 +159,9 @@ def train(spark: SparkSession, docs: DataFrame, labels: DataFrame, sample_rows:
     marks = labels.select(F.col("doc_id").cast("long").alias("k"), F.col("quality").cast("int").alias("quality")).where("k is not null and quality is not null").distinct()
     sample = smallest(marks.where(~held_out(F.col("k"))), F.xxhash64("k"), sample_rows)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(sample), F.col("doc_id") == F.col("k"))
+    counted = texts.select("k", "quality", F.md5(F.coalesce("text", F.lit(""))).alias("d"), "text").mapInArrow(_counted, "k long, quality int, d string, x array<double>")
     # Of rows that repeat a labelled id, that with the smallest digest is learned from: what is gathered is bounded by the sample.
-    texts = texts.groupBy("k", "quality").agg(F.min(F.struct(F.md5(F.coalesce("text", F.lit(""))).alias("d"), "text")).alias("t"))
-    rows = texts.select("k", "quality", "t.text").mapInArrow(_counted, "k long, quality int, x array<double>").toArrow()
+    rows = counted.groupBy("k", "quality").agg(F.min(F.struct("d", "x")).alias("m")).select("k", "quality", "m.x").toArrow()
     order = np.argsort(rows.column("k").to_numpy(), kind="stable")
     x = np.array(rows.column("x").to_pylist(), float).reshape(-1, len(STATISTICS))[order]
     y = rows.column("quality").to_numpy()[order].astype(float)
