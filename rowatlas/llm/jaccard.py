@@ -139,6 +139,7 @@ def _features(rows: int, bands: int):
                 ends = np.concatenate([[0], np.cumsum([len(k) for k in keys])]).astype(np.int32)
                 held = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(keys) if keys else np.empty(0, np.int64)))
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("tk"), pa.array(uid, pa.binary()), held, pa.array(sketches, pa.binary())], ["doc_id", "tk", "uid", "bands", "sketch"])
+        scratch.give_back()
 
     return run
 

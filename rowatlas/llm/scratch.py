@@ -82,3 +82,14 @@ class Tables:
         for name in names:
             if path := self.paths.pop(name, None):
                 remove(self.spark, path)
+
+
+def give_back() -> None:
+    """Return memory that a worker has freed to the system: workers live on and serve other stages."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
