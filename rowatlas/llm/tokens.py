@@ -33,7 +33,7 @@ from rowatlas.llm import scratch
 BROADCAST_SEGMENTS = 1_000_000
 #: Bytes of text that are encoded at once (a longer text goes alone), and words that a worker keeps: beyond, its
 #: words are forgotten and learned again, never the data.
-SLICE_BYTES, KEPT_WORDS = 4 << 20, 300_000
+SLICE_BYTES, KEPT_WORDS = 2 << 20, 300_000
 #: Texts that are encoded whole: empty ones, and those where white space is more than one space or line feed between two words.
 _UNEVEN = r"^$|^[ \n]|[ \n]$|[ \n][ \n]|[\t\r\x0b\x0c\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 #: Letters of every version of Unicode, and the ASCII characters that are neither letter, digit nor white space.
