@@ -20,8 +20,9 @@ def _round(edges: DataFrame, tables: Tables, name: str) -> DataFrame:
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     least = both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"), F.count("*").alias("n"))
     # Larger neighbours of a node get the smallest of its neighbours and itself.
-    large = join_counted(both.where("v > u"), least, "u", "n", 2 * edges.count()).select(F.col("v").alias("u"), F.col("m").alias("v"))
-    large = tables.write(large, f"{name}-large")
+    ends = 2 * edges.count()
+    large = join_counted(both.where("v > u"), least, "u", "n", ends).select(F.col("v").alias("u"), F.col("m").alias("v"))
+    large = tables.write(large, f"{name}-large", ends)
     # Smaller neighbours of a node, and the node, get the smallest of them.
     least = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
     small = join_counted(large, least, "u", "n", large.count()).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
@@ -35,17 +36,17 @@ def _stars(edges: DataFrame) -> bool:
     return each.agg(F.max((F.col("up") > 1) | ((F.col("up") > 0) & (F.col("down") > 0)))).first()[0] is not True
 
 
-def components(edges: DataFrame, tables: Tables, name: str = "cc") -> DataFrame:
+def components(edges: DataFrame, tables: Tables, name: str = "cc", rows: int | None = None) -> DataFrame:
     """``node, root`` for every node with an edge other than to itself; the root is the smallest node.
 
-    ``edges`` has columns ``u, v`` of one orderable type without nulls.
+    ``edges`` has columns ``u, v`` of one orderable type without nulls; ``rows`` is a bound of their number, if one is known.
     """
     down = edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
-    now = tables.write(down, name)
+    now = tables.write(down, name, rows)
     for _ in range(60):
         if _stars(now):
             break
-        now = tables.write(_round(now, tables, name), name)
+        now = tables.write(_round(now, tables, name), name, 3 * now.count())  # two rows for an edge at most, and one for a node
         tables.drop(f"{name}-large")
     else:
         raise RuntimeError("components did not settle")

@@ -46,6 +46,8 @@ BUCKET = 512
 BLOCK, BLOCK_SHINGLES = 512, 1_000_000
 #: Representatives of classes with a candidate (about 60 bytes each) that are broadcast at most, to choose texts; more are joined by a shuffle.
 BROADCAST_ROWS = 250_000
+#: Narrow rows (``scratch.ROWS_A_FILE``) that one row with band keys and a sketch takes as much space as.
+WIDE = 8
 #: Words whose hash a worker keeps.
 CACHED_WORDS = 200_000
 _WHITE = " \t\n\x0b\x0c\r"
@@ -309,15 +311,15 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.unhex(F.md5(F.coalesce("text", F.lit("")))).alias("tk"))
 
 
-def _candidates(sets: DataFrame, tables: scratch.Tables, places: int, bands: int, share: float) -> DataFrame:
-    """Edges ``u, v`` (numbers of sets) that connect all candidates for a link."""
-    keys = sets.select("id", F.explode("bands").alias("key"))
-    buckets = tables.write(keys.groupBy("key").agg(F.min("id").alias("first"), F.count("*").alias("n")).where("n > 1"), "buckets")
-    held = tables.write(join_counted(keys, buckets, "key", "n", bands * sets.count()), "held")
+def _candidates(sets: DataFrame, tables: scratch.Tables, places: int, bands: int, share: float) -> tuple[DataFrame, int]:
+    """Edges ``u, v`` (numbers of sets) that connect all candidates for a link, and a bound of their number."""
+    keys, total = sets.select("id", F.explode("bands").alias("key")), bands * sets.count()
+    buckets = tables.write(keys.groupBy("key").agg(F.min("id").alias("first"), F.count("*").alias("n")).where("n > 1"), "buckets", total)
+    held = tables.write(join_counted(keys, buckets, "key", "n", total), "held", total)
     tables.drop("buckets")
     some = held.where(F.col("n") <= BUCKET).select("key", "id").join(sets.select("id", "sketch"), "id")
     near = some.repartition("key").sortWithinPartitions("key").mapInArrow(_alike(sketch_floor(places, share)), "u long, v long")
-    return near.unionByName(held.where((F.col("n") > BUCKET) & (F.col("id") != F.col("first"))).select(F.col("id").alias("u"), F.col("first").alias("v")))
+    return near.unionByName(held.where((F.col("n") > BUCKET) & (F.col("id") != F.col("first"))).select(F.col("id").alias("u"), F.col("first").alias("v"))), held.count()
 
 
 def _linked(spark: SparkSession, docs: DataFrame, tables: scratch.Tables, rows: int, recall: float, share: tuple[int, int]) -> tuple[DataFrame, DataFrame]:
@@ -329,12 +331,12 @@ def _linked(spark: SparkSession, docs: DataFrame, tables: scratch.Tables, rows:
     # One row per shingle set; its text is found again by the smallest id and the digest of that row.
     sets = marked.where("uid is not null").groupBy("uid").agg(F.count("*").alias("members"), F.min(F.struct("doc_id", "tk")).alias("r"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
     # Sets are numbered once, in the written table: numbers are unique and stay.
-    sets = tables.write(sets.select(F.monotonically_increasing_id().alias("id"), "uid", "members", "r.doc_id", "r.tk", "bands", "sketch"), "sets")
-    edges = _candidates(sets, tables, rows * bands, bands, share[0] / share[1])
-    groups = tables.write(components(edges, tables, "candidate-edges").withColumnRenamed("node", "id"), "candidate-groups")
+    sets = tables.write(sets.select(F.monotonically_increasing_id().alias("id"), "uid", "members", "r.doc_id", "r.tk", "bands", "sketch"), "sets", WIDE * marked.count())
+    edges, most = _candidates(sets, tables, rows * bands, bands, share[0] / share[1])
+    groups = tables.write(components(edges, tables, "candidate-edges", most).withColumnRenamed("node", "id"), "candidate-groups", most)
     tables.drop("candidate-edges", "held")
     near = sets.select("id", "members", F.col("doc_id").alias("_d"), F.col("tk").alias("_t")).join(groups, "id")
-    near = tables.write(near, "near")
+    near = tables.write(near, "near", sets.count())
     few = near.count() <= BROADCAST_ROWS
     texts = keyed.join(F.broadcast(near) if few else near, (F.col("tk") == F.col("_t")) & F.col("doc_id").eqNullSafe(F.col("_d"))).select("id", "root", "members", "text")
     full = tables.write(texts.mapInArrow(_sets, "id long, root long, members long, sh array<long>").dropDuplicates(["id"]), "full")
@@ -346,15 +348,15 @@ def _linked(spark: SparkSession, docs: DataFrame, tables: scratch.Tables, rows:
     found = tables.write(found, "found")
     tables.drop("full", "near", "candidate-groups")
     links = found.where("other is null").groupBy("id").agg(F.sum("links").alias("links"))
-    classes = components(found.where("other is not null").select(F.col("id").alias("u"), F.col("other").alias("v")), tables, "link-edges")
+    classes = components(found.where("other is not null").select(F.col("id").alias("u"), F.col("other").alias("v")), tables, "link-edges", found.count())
     # Only sets with a link or with copies can share a class.
-    more = tables.write(classes.withColumnRenamed("node", "id").join(links, "id", "left"), "classes")
+    more = tables.write(classes.withColumnRenamed("node", "id").join(links, "id", "left"), "classes", found.count())
     tables.drop("link-edges", "found")
     named = sets.select("id", "uid", "members", F.struct("doc_id", "tk").alias("own")).join(_sized(more), "id", "left").where("root is not null or members > 1")
-    named = tables.write(named.withColumn("root", F.coalesce("root", "id")), "named")
+    named = tables.write(named.withColumn("root", F.coalesce("root", "id")), "named", sets.count())
     names = named.groupBy("root").agg(F.count("*").alias("n"), F.min("own").alias("r"), F.sum("members").alias("class_size")).where("class_size > 1")
     linked = join_counted(named, names, "root", "n", named.count()).select("uid", "members", "r", F.col("r.doc_id").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("members") - 1).alias("n_links"))
-    return marked.select("doc_id", "tk", "uid"), tables.write(linked, "linked")
+    return marked.select("doc_id", "tk", "uid"), tables.write(linked, "linked", named.count())
 
 
 def _sized(df: DataFrame) -> DataFrame:
@@ -378,10 +380,10 @@ def keep_one(spark: SparkSession, docs: DataFrame, rows: int = ROWS, recall: flo
     """``docs`` with one row of each class, that with the smallest doc_id (then digest of its text)."""
     tables = scratch.Tables(spark)
     marked, linked = _linked(spark, docs, tables, rows, recall, share)
-    heads = tables.write(linked.select("r.doc_id", F.col("r.tk").alias("_t")).distinct().withColumnRenamed("doc_id", "_d"), "heads")
+    heads = tables.write(linked.select("r.doc_id", F.col("r.tk").alias("_t")).distinct().withColumnRenamed("doc_id", "_d"), "heads", linked.count())
     few = linked.count() <= BROADCAST_ROWS
     of_class = marked.join(F.broadcast(linked.select("uid")), "uid") if few else join_counted(marked, linked.select("uid", "members"), "uid", "members", marked.count())
-    away = tables.write(of_class.groupBy(F.col("tk").alias("_t")).agg(F.count("*").alias("_n")), "away")
+    away = tables.write(of_class.groupBy(F.col("tk").alias("_t")).agg(F.count("*").alias("_n")), "away", marked.count())
     # Rows travel as one struct, so no name of theirs can clash.
     own = docs.select(F.struct("*").alias("row"), F.unhex(F.md5(F.coalesce("text", F.lit("")))).alias("_t"))
     if away.count() <= BROADCAST_ROWS:

@@ -15,6 +15,9 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Rows of a few numbers each that a file of a written table holds, at most, where their number has a bound.
+ROWS_A_FILE = 200_000
+
 _local: str | None = None
 _known: set[str] = set()
 
@@ -70,8 +73,12 @@ class Tables:
         self.spark = spark
         self.paths: dict[str, str] = {}
 
-    def write(self, df: DataFrame, name: str) -> DataFrame:
+    def write(self, df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
+        """``df`` as a table. With ``rows``, a bound of the rows that reach its last stage, it gets a file for each
+        ROWS_A_FILE of them (and one a core) instead of one a partition: small files cost more than what they hold."""
         path = new_path(self.spark, name)
+        if rows is not None:
+            df = df.coalesce(max(self.spark.sparkContext.defaultParallelism, -(-rows // ROWS_A_FILE)))
         df.write.parquet(path)
         old, self.paths[name] = self.paths.get(name), path
         if old:
