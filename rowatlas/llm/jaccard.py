@@ -155,6 +155,7 @@ def _sets(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ends = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32)
             held = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sets).view(np.int64) if sets else np.empty(0, np.int64)))
             yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("root"), batch.column("members"), held], ["id", "root", "members", "sh"])
+    scratch.give_back()
 
 
 def _alike(floor: int):

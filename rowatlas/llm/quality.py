@@ -26,6 +26,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
+from rowatlas.llm import scratch
 from rowatlas.llm.sampling import smallest
 
 #: Labelled rows that are learned from at most: those with the smallest hash of their id.
@@ -176,6 +177,7 @@ def _scoring(trees: Trees):
                 b = whole.slice(at, 512)
                 x = np.array([statistics(t or "") for t in b.column("text").to_pylist()], float).reshape(-1, len(STATISTICS))
                 yield pa.RecordBatch.from_arrays([*(b.column(k) for k in range(b.num_columns)), pa.array(trees.score(x))], [*b.schema.names, "score"])
+        scratch.give_back()
 
     return run
 

@@ -264,6 +264,7 @@ def _digests(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, flat = lists.offsets.to_numpy(), lists.values.to_numpy(zero_copy_only=False).astype("<u4")
         crc = pa.array([zlib.crc32(flat[i:j].tobytes()) for i, j in zip(at[:-1], at[1:], strict=True)], pa.int64())
         yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("start"), pa.array(np.diff(at).astype(np.int64)), crc], ["doc_id", "start", "n_tokens", "ids_crc32"])
+    scratch.give_back()
 
 
 def digests(rows: DataFrame) -> DataFrame:
