@@ -520,3 +520,13 @@ def test_nearest_of_long_vectors(spark):
     rng = np.random.default_rng(6)
     rows = [(k, v.tolist()) for k, v in enumerate(rng.normal(size=(60, 3000)))]
     assert ann.search(spark, spark.createDataFrame(rows, "id long, v array<double>"), F.col("id") % 50 == 0).count() == 10
+
+
+@pytest.mark.parametrize("rows, a_file, files", [(1000, 200_000, 8), (1000, 50, 20), (None, 50, 40)])
+def test_files_of_written_tables(spark, monkeypatch, rows, a_file, files):
+    monkeypatch.setattr(scratch, "ROWS_A_FILE", a_file)
+    tables = scratch.Tables(spark)
+    out = tables.write(spark.range(0, 1000, 1, 40), "few", rows)
+    assert len(out.inputFiles()) == max(files, min(40, spark.sparkContext.defaultParallelism) if rows else files)
+    assert sorted(r.id for r in out.collect()) == list(range(1000))
+    tables.drop("few")
